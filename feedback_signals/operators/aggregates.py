@@ -10,11 +10,14 @@ from .. import config as C
 from ..functions import scoring as S
 from .reshape import split_categories
 
-# The windows below run over one row per label, after aggregation.
-_EVERYTHING = Window.partitionBy()
 LABEL_GROUPS = ("Positive", "Negative", "Minority", "Suggestion", "Self")
 
 
+def _everything():
+    """A window over one row per label; never over table rows."""
+    return Window.partitionBy()
+
+
 def count_if(condition: Column) -> Column:
     return F.count(F.when(condition, 1))
 
@@ -23,7 +26,7 @@ def label_distribution(df: DataFrame, col: str = "prediction", normalize: bool =
     """Rows (and share) per value, most frequent first; nulls are not counted."""
     counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n"))
     if normalize:
-        counts = counts.withColumn("share", F.col("n") / F.sum("n").over(_EVERYTHING))
+        counts = counts.withColumn("share", F.col("n") / F.sum("n").over(_everything()))
     return counts.orderBy(F.desc("n"), col)
 
 
@@ -35,7 +38,7 @@ def label_stats(df: DataFrame, digits: bool = True) -> DataFrame:
         F.avg("confidence").alias("avg_confidence"),
         count_if(F.col("is_minority_pattern")).alias("minority_count"),
     )
-    stats = stats.withColumn("pct", 100.0 * F.col("count") / F.sum("count").over(_EVERYTHING))
+    stats = stats.withColumn("pct", 100.0 * F.col("count") / F.sum("count").over(_everything()))
     stats = stats.filter(F.col("label").isNotNull())
     if digits:
         stats = stats.withColumn("pct", F.round("pct", 2)).withColumn(

@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import config as C
 
-_EVERYTHING = Window.partitionBy()  # only ever used over one row per label
+
+def _everything():
+    """A window over one row per label; never over table rows."""
+    return Window.partitionBy()
+
 
 
 def class_weights(
@@ -20,8 +24,8 @@ def class_weights(
     """Balanced weight per label, times ``mult`` for labels rarer than the most
     frequent one unless exempt.  ``boosted`` marks the latter."""
     counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
-    boosted = (F.col("n") < F.max("n").over(_EVERYTHING)) & ~F.col(label).isin(*exempt)
-    balanced = F.sum("n").over(_EVERYTHING) / (F.count("*").over(_EVERYTHING) * F.col("n"))
+    boosted = (F.col("n") < F.max("n").over(_everything())) & ~F.col(label).isin(*exempt)
+    balanced = F.sum("n").over(_everything()) / (F.count("*").over(_everything()) * F.col("n"))
     sized = counts.withColumns({"boosted": boosted, "balanced": balanced})
     return sized.select(
         label, "n", "boosted",
