@@ -66,7 +66,7 @@ def detected(df: DataFrame) -> DataFrame:
 
 def unmerged(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = G.match_lexicon(feedback(spark, sf_dir), LEXICON)
-    return G.categorize_flagged(detected(rows), LEXICON)
+    return G.categorize_flagged(detected(rows), None)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,7 +68,8 @@ def match_lexicon(spark, sf):
 
 @query("categorize_flagged", f"WITH {T.UNMERGED} SELECT row_id, minority_category FROM det")
 def categorize_flagged(spark, sf):
-    return T.unmerged(spark, sf).select("row_id", "minority_category")
+    rows = G.categorize_flagged(T.detected(T.feedback(spark, sf)), T.LEXICON)
+    return rows.select("row_id", "minority_category")
 
 
 @query("rating_to_sentiment", f"""

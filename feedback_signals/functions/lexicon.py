@@ -21,7 +21,7 @@ def _mentions(lowered: Column, phrases: Sequence[str]) -> Column:
     in generated code; it needs no regex and no quoting."""
     found = F.lit(False)
     for phrase in shortest_phrases(phrases):
-        found = found | F.contains(lowered, F.lit(phrase))
+        found = found | lowered.contains(phrase)
     return F.coalesce(found, F.lit(False))
 
 

@@ -65,7 +65,7 @@ def token_count(text: Column) -> Column:
 def phrases_present(text: Column, phrases: Sequence[str]) -> Column:
     """How many of ``phrases`` occur (as substrings) in the lower-cased text."""
     lowered = F.lower(text)
-    return total(F.contains(lowered, F.lit(p)).cast("int") for p in phrases)
+    return total(lowered.contains(p).cast("int") for p in phrases)
 
 
 def feedback_subtype(text: Column, phrases: Sequence[str] = C.FIRST_PERSON_PHRASES) -> Column:

@@ -21,17 +21,26 @@ def match_lexicon(df: DataFrame, lexicon: Lexicon, none_label: str = "", text: s
 
 
 def categorize_flagged(
-    df: DataFrame, lexicon: Lexicon, flag: str = "is_minority_pattern", scorer=None, text: str = "text"
+    df: DataFrame, lexicon: Lexicon | None, flag: str = "is_minority_pattern", scorer=None, text: str = "text"
 ) -> DataFrame:
     """``minority_category`` of flagged rows: their lexicon categories, else
     what ``scorer`` says (a function from rows to rows with ``categories``),
-    else the outlier-only mark.  Unflagged rows get an empty text."""
-    cats = matched_categories(F.col(text), lexicon)
-    joined = F.array_join(cats, "|")
-    by_words = F.when(~F.col(flag), F.lit("")).when(F.size(cats) > 0, joined)
+    else the outlier-only mark.  Unflagged rows get an empty text.
+
+    Without a ``lexicon`` the keyword columns that ``match_lexicon`` left are
+    used, which saves the second search.
+    """
+    if lexicon is None:
+        found, worded = df, F.when(F.col("keyword_minority"), F.col("keyword_categories"))
+    else:
+        found = df.withColumn("_cats", F.when(F.col(flag), matched_categories(F.col(text), lexicon)))
+        worded = F.when(F.size("_cats") > 0, F.array_join("_cats", "|"))
+    by_words = F.when(~F.col(flag), F.lit("")).otherwise(worded)
     if scorer is None:
-        return df.withColumn("minority_category", F.coalesce(by_words, F.lit(C.OUTLIER_ONLY)))
-    worded = df.withColumn("minority_category", by_words)
+        return found.withColumn(
+            "minority_category", F.coalesce(by_words, F.lit(C.OUTLIER_ONLY))
+        ).drop("_cats")
+    worded = found.withColumn("minority_category", by_words).drop("_cats")
     open_rows = worded.filter(F.col("minority_category").isNull())
     done = worded.filter(F.col("minority_category").isNotNull())
     scored = scorer(open_rows).withColumn("minority_category", F.col("categories"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import config as C
 from ..functions import labels as L
-from ..functions.text import strip, total
+from ..functions.text import strip
 from .caches import score_distinct, with_key
 from .labelling import first_label_per_text, map_labels
 
@@ -42,26 +42,36 @@ def word_weights(candidates: Sequence[str]) -> dict[str, int]:
 
 def token_cosine(text: Column, candidates: Sequence[str]) -> Column:
     """Cosine between the words of a text and of each candidate, in the space of
-    the candidates' words.  The whole text is read once, by a hashed
-    intersection with that vocabulary."""
+    the candidates' words.
+
+    The whole text is read once, by a hashed intersection with that vocabulary.
+    Every word found adds its row of per-candidate weights to a running sum,
+    whose last entry is the text's own squared length.
+    """
     weight = word_weights(candidates)
-    vocabulary = F.array(*map(F.lit, weight))
-    hits = F.array_intersect(F.split(F.lower(text), "[^a-z]+"), vocabulary)
-    # One let-binding: the intersection is evaluated once and used many times.
-    scores = F.transform(F.array(hits), lambda h: _cosines(h, candidates, weight))
-    return F.coalesce(F.get(scores, F.lit(0)), F.array(*[F.lit(0.0)] * len(candidates)))
-
-
-def _cosines(hits: Column, candidates: Sequence[str], weight: Mapping[str, int]) -> Column:
-    present = {w: F.array_contains(hits, w).cast("int") * v for w, v in weight.items()}
-    own = F.sqrt(total(present.values()).cast("double"))
-    scores = []
-    for candidate in candidates:
-        words = candidate_words(candidate)
-        norm = math.sqrt(sum(weight[w] for w in words)) if words else 1.0
-        shared = total(present[w] for w in words).cast("double")
-        scores.append(F.when(own > 0, shared / F.lit(norm) / own).otherwise(0.0))
-    return F.array(*scores)
+    words = [set(candidate_words(c)) for c in candidates]
+    # The weight table is one parsed literal: a call per number would cost more
+    # than the query.  Words are plain a-z.
+    doubles = lambda values: "array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")"
+    entries = (
+        f"'{w}', {doubles([*[q if w in group else 0 for group in words], q])}" for w, q in weight.items()
+    )
+    rows = F.expr(f"map({', '.join(entries)})")
+    vocabulary = F.expr("array(" + ", ".join(f"'{w}'" for w in weight) + ")")
+    hits = F.array_intersect(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+"), vocabulary)
+    sums = F.aggregate(
+        hits, F.expr(doubles([0] * (len(candidates) + 1))),
+        lambda acc, word: F.zip_with(acc, rows[word], lambda x, y: x + y),
+    )
+    norms = [math.sqrt(sum(weight[w] for w in group)) if group else 1.0 for group in words]
+    # A transform over one element binds the sums, so they are computed once.
+    return F.get(F.transform(F.array(sums), lambda s: _scaled(s, F.expr(doubles(norms)))), F.lit(0))
+
+
+def _scaled(sums: Column, norms: Column) -> Column:
+    own = F.sqrt(F.element_at(sums, -1))
+    shared = F.slice(sums, 1, F.size(norms))
+    return F.zip_with(shared, norms, lambda s, n: F.when(own > 0, s / n / own).otherwise(0.0))
 
 
 def argmax_position(scores: Column) -> Column:

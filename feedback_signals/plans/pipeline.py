@@ -107,7 +107,7 @@ def run_pipeline(
     rows = score_rows(rows, mode, options, rating_col)
     if options.include_minority:
         rows = detect_minority(
-            rows, options.lexicon, options.embedder, options.embedding_cache, settings,
+            rows, None, options.embedder, options.embedding_cache, settings,
             scorer=zero_shot_multi if options.score_unmatched else None, cap=options.cap,
         )
     rows = G.merge_minority_flags(rows, embedding=options.include_minority)
@@ -124,9 +124,10 @@ def run_minority(df: DataFrame | Ingested, options: Options) -> tuple[DataFrame,
     rows = drop_short(found.df, options.settings.min_chars)
     if options.anonymize:
         rows = anonymize(rows, placeholder=options.settings.placeholder, ner=options.ner)
+    # Here a text without a hit carries the outlier mark as its category.
     rows = G.match_lexicon(rows, options.lexicon, none_label=C.OUTLIER_ONLY)
     rows = detect_minority(
-        rows, options.lexicon, options.embedder, options.embedding_cache, options.settings,
+        rows, None, options.embedder, options.embedding_cache, options.settings,
         scorer=zero_shot_multi if options.score_unmatched else None, cap=options.cap,
     )
     merged = G.merge_minority_flags(rows)
