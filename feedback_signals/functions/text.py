@@ -10,10 +10,16 @@ from pyspark.sql import Column, functions as F
 from .. import config as C
 
 # Word edges are written out: what ``\b`` means depends on the JDK.
-_EDGE_BEFORE = r"(?<![\p{L}\p{N}_])"
+def _no_word_before(first: str) -> str:
+    return r"(?<![\p{L}\p{N}_]" + first + ")"
+
+
 _EDGE_AFTER = r"(?![\p{L}\p{N}_])"
-NAME_PATTERN = _EDGE_BEFORE + r"[A-Z][a-z]{2,}\s+[A-Z][a-z]{2,}" + _EDGE_AFTER
-LONG_NUMBER_PATTERN = _EDGE_BEFORE + r"\d{6,}" + _EDGE_AFTER
+# The look-behind stands after the first character: most positions fail on that
+# character alone, before anything is looked up.
+NAME_PATTERN = r"[A-Z]" + _no_word_before("[A-Z]") + r"[a-z]{2,}\s+[A-Z][a-z]{2,}" + _EDGE_AFTER
+LONG_NUMBER_PATTERN = r"\d" + _no_word_before(r"\d") + r"\d{5,}" + _EDGE_AFTER
+WHITE_SPACE = " \t\n\r\x0b\x0c"
 
 
 def total(parts: Iterable[Column]) -> Column:
@@ -27,7 +33,7 @@ def squeeze(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only spaces."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def combined_text(columns: Sequence[Column]) -> Column:

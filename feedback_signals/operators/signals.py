@@ -12,12 +12,13 @@ from ..functions.lexicon import Lexicon, matched_categories
 def match_lexicon(df: DataFrame, lexicon: Lexicon, none_label: str = "", text: str = "text") -> DataFrame:
     """Adds ``keyword_minority`` and the ``|``-joined ``keyword_categories``;
     rows without a hit get ``none_label``."""
-    found = df.withColumn("_cats", matched_categories(F.col(text), lexicon))
+    lowered = df.withColumn("_lower", F.lower(F.col(text)))
+    found = lowered.withColumn("_cats", matched_categories(F.col("_lower"), lexicon))
     hit = F.size("_cats") > 0
     return found.withColumns({
         "keyword_minority": hit,
         "keyword_categories": F.when(hit, F.array_join("_cats", "|")).otherwise(none_label),
-    }).drop("_cats")
+    }).drop("_cats", "_lower")
 
 
 def categorize_flagged(
@@ -33,7 +34,9 @@ def categorize_flagged(
     if lexicon is None:
         found, worded = df, F.when(F.col("keyword_minority"), F.col("keyword_categories"))
     else:
-        found = df.withColumn("_cats", F.when(F.col(flag), matched_categories(F.col(text), lexicon)))
+        # Rows that are not flagged have nothing to search.
+        lowered = df.withColumn("_lower", F.when(F.col(flag), F.lower(F.col(text))))
+        found = lowered.withColumn("_cats", matched_categories(F.col("_lower"), lexicon)).drop("_lower")
         worded = F.when(F.size("_cats") > 0, F.array_join("_cats", "|"))
     by_words = F.when(~F.col(flag), F.lit("")).otherwise(worded)
     if scorer is None:

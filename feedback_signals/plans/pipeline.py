@@ -14,6 +14,7 @@ from ..functions.lexicon import Lexicon
 from ..functions.text import feedback_subtype, phrases_present
 from ..operators import signals as G
 from ..operators.aggregates import minority_job_summary
+from ..operators.caches import with_key
 from ..operators.classifier import classify, route_model
 from ..operators.detect import detect_minority
 from ..operators.embeddings import Embedder
@@ -21,6 +22,7 @@ from ..operators.entities import mixed_signals
 from ..operators.reshape import anonymize, drop_short, feedback_mode_of, melt_dimensions
 from ..operators.views import by_priority
 from ..operators.zero_shot import token_cosine, zero_shot_multi
+from ..session import materialize
 from ..sources.files import Ingested, detect_roles, read_feedback
 
 # Without a trained model a text is compared with the label descriptions.
@@ -106,6 +108,9 @@ def run_pipeline(
         rows = anonymize(rows, placeholder=settings.placeholder, ner=options.ner)
     rows = score_rows(rows, mode, options, rating_col)
     if options.include_minority:
+        # Read the texts once: the detector's passes, and the result, start from
+        # this table and take only the columns they need.
+        rows = materialize(with_key(rows))
         rows = detect_minority(
             rows, None, options.embedder, options.embedding_cache, settings,
             scorer=zero_shot_multi if options.score_unmatched else None, cap=options.cap,
@@ -125,7 +130,7 @@ def run_minority(df: DataFrame | Ingested, options: Options) -> tuple[DataFrame,
     if options.anonymize:
         rows = anonymize(rows, placeholder=options.settings.placeholder, ner=options.ner)
     # Here a text without a hit carries the outlier mark as its category.
-    rows = G.match_lexicon(rows, options.lexicon, none_label=C.OUTLIER_ONLY)
+    rows = materialize(with_key(G.match_lexicon(rows, options.lexicon, none_label=C.OUTLIER_ONLY)))
     rows = detect_minority(
         rows, None, options.embedder, options.embedding_cache, options.settings,
         scorer=zero_shot_multi if options.score_unmatched else None, cap=options.cap,

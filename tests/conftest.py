@@ -16,7 +16,7 @@ def spark():
     session = build_session(
         "tests", "local[8]",
         **{
-            "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+            "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "6g", "spark.driver.host": "127.0.0.1",
             "spark.driver.bindAddress": "127.0.0.1",
             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="checkpoints-"),
