@@ -100,7 +100,7 @@ def rate_cap_stream(
         verdict = accept(rows["_t"].to_numpy(), accepted, n, window)
         state.update(([int(t) for t in accepted],))
         if accepted:
-            ends = (accepted[-1] + window) // 1000 + 1
+            ends = int(accepted[-1] + window) // 1000 + 1
             state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
         yield rows.assign(accepted=verdict)[[event_id, key, "_t", "accepted"]]
 
