@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import config as C
 from ..operators import signals as G
+from ..session import spread_small
 
 # Phrases that do occur in the documents.
 LEXICON = {
@@ -30,9 +31,13 @@ def pick(names, number):
     return F.element_at(F.array(*map(F.lit, names)), (number + 1).cast("int"))
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_small(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         d.alias("row_id"),
         "text",
         F.concat_ws("/", "source", "lang").alias("entity"),

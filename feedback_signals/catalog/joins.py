@@ -146,10 +146,18 @@ def eps_neighbors(spark, sf):
     return neighbors.eps_neighbors(points(spark, sf), EPS).select("row_id", "neighbors")
 
 
-@query("unite_sources", """
-SELECT doc_id AS row_id, text, lang, NULL AS role FROM documents UNION ALL SELECT conv_id * 1000 + turn, text, NULL, role FROM conversations""")
-def unite_sources(spark, sf):
-    docs = T.table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text", "lang")
-    turns = T.table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text", "role")
-    train, _ = TR.combine_training(docs, turns.withColumn("rating", F.lit(0)), include_course_eval=False)
-    return train.unionByName(turns, allowMissingColumns=True)
+@query("combine_training", """
+WITH h AS (SELECT doc_id AS row_id, ('0x' || substr(md5('42:' || doc_id), 1, 8))::BIGINT / 4294967296 < 0.2 AS is_test FROM documents)
+SELECT 'train' AS side, conv_id * 1000 + turn AS row_id, role AS tags, NULL AS dimension FROM conversations
+UNION ALL SELECT 'train', row_id, NULL, 'parking' FROM h WHERE NOT is_test
+UNION ALL SELECT 'validation', row_id, NULL, 'parking' FROM h WHERE is_test""")
+def combine_training(spark, sf):
+    reviews = T.table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text", F.col("role").alias("tags")
+    )
+    course = T.documents(spark, sf).select(
+        F.col("doc_id").alias("row_id"), "text", F.lit("parking").alias("dimension"), F.lit(1).alias("rating")
+    )
+    train, held_out = TR.combine_training(reviews, course)
+    side = lambda rows, name: rows.select(F.lit(name).alias("side"), "row_id", "tags", "dimension")
+    return side(train, "train").union(side(held_out.withColumn("tags", F.lit(None).cast("string")), "validation"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators import classifier, dbscan as D, detect, embeddings, evaluation as E, outliers, zero_shot as Z
 from ..plans import pipeline as PL, training as TR
+from ..session import scratch_folder
 from ..sources import loaders
-from ..streaming import rate_cap as RC
+from ..streaming import rate_cap as RC, score_stream as SS
 from . import frames as T
 from .joins import EPS, POINTS, points
 from .registry import query
@@ -37,7 +40,7 @@ best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY doc_id ORD
 
 
 def _documents(spark, sf):
-    return T.table(spark, sf, "documents").withColumnRenamed("doc_id", "row_id")
+    return T.documents(spark, sf).withColumnRenamed("doc_id", "row_id")
 
 
 @query("argmax_label", f"WITH {_cosine_sql(C.PEER_CANDIDATES)} SELECT doc_id AS row_id, name AS candidate, round(score, 9) AS score FROM best")
@@ -252,3 +255,17 @@ def prepare_course_training(spark, sf):
 def rate_cap(spark, sf):
     events = T.table(spark, sf, "events").select("event_id", F.col("user_id").alias("key"), "ts")
     return RC.rate_cap(events, n=3, seconds=24 * 3600).select("event_id", "accepted")
+
+
+@query("score_stream", f"""
+WITH {_cosine_sql(C.PROFESSOR_CANDIDATES)}
+SELECT best.label, count(*) AS count FROM best JOIN documents USING (doc_id) WHERE length(text) > 5 GROUP BY best.label""")
+def score_stream(spark, sf):
+    """Runs the stream over the files that are there and returns its totals."""
+    out = f"{scratch_folder(spark)}/streams/{uuid.uuid4().hex}"
+    options = PL.Options(lexicon=T.LEXICON, anonymize=False)
+    job = SS.score_stream(
+        spark, f"{sf}/documents*.parquet", f"{out}/result", "doc_id long, text string", C.S2P, options, f"{out}/progress"
+    )
+    job.awaitTermination()
+    return SS.stream_totals(spark, f"{out}/result").select("label", "count")

@@ -36,14 +36,14 @@ def drop_short(spark, sf):
 SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '([^\P{L}a-zA-Z])', '_\1_', 'g'),
   '\b[A-Z][a-z]{2,}\s+[A-Z][a-z]{2,}\b', '[STUDENT]', 'g'), '_([^\P{L}a-zA-Z])_', '\1', 'g') AS text FROM documents""")
 def anonymize(spark, sf):
-    return R.anonymize(T.table(spark, sf, "documents")).select("doc_id", "text")
+    return R.anonymize(T.documents(spark, sf)).select("doc_id", "text")
 
 
 @query("drop_noise", rf"""
 SELECT doc_id, {BODY} AS text FROM documents
 WHERE length({BODY}) >= 20 AND NOT regexp_matches({BODY}, '\b\d{{6,}}\b') AND regexp_matches({BODY}, '[a-zA-Z]{{3,}}')""")
 def drop_noise(spark, sf):
-    return R.drop_noise(T.table(spark, sf, "documents")).select("doc_id", "text")
+    return R.drop_noise(T.documents(spark, sf)).select("doc_id", "text")
 
 
 _SUBTYPE_HITS = " + ".join(f"contains(lower(text), '{p}')::INT" for p in T.SUBTYPE_PHRASES)

@@ -54,11 +54,10 @@ def masked_names(text: Column, placeholder: str = C.DEFAULTS.placeholder) -> Col
 
 def is_meaningful(text: Column) -> Column:
     """At least 20 characters, no long digit run, at least one real word."""
-    body = strip(text)
     keep = (
-        (F.length(body) >= 20)
-        & ~body.rlike(LONG_NUMBER_PATTERN)
-        & body.rlike("[a-zA-Z]{3,}")
+        (F.length(strip(text)) >= 20)
+        & ~text.rlike(LONG_NUMBER_PATTERN)
+        & text.rlike("[a-zA-Z]{3,}")
     )
     return F.coalesce(keep, F.lit(False))
 

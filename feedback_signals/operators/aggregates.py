@@ -143,56 +143,61 @@ def success_criteria(df: DataFrame, mode: str) -> DataFrame:
     )
 
 
-def _count_map(counts: DataFrame, key: str) -> Column:
-    """``map<key, n>`` of an aggregate with one row per label, as a scalar."""
-    entries = F.collect_list(F.struct(F.col(key), F.col("n")))
-    return counts.agg(F.map_from_entries(entries)).scalar()
-
-
 def run_summary(df: DataFrame, mode: str | None = None, digits: bool = True) -> DataFrame:
-    """One row: totals, shares, means, three count maps and the checks.
+    """One row: totals, shares, means, three count maps and, for a ``mode``, its
+    checks.
 
-    All counts come from one grouped pass over (label, category list, subtype);
-    the totals and maps are sums over that small result.
+    Totals and maps come from one pass: every row counts once for the whole and
+    once for its label, category list and subtype, which the partial aggregate
+    folds before the shuffle.  What follows runs on one row per distinct value.
     """
-    keys = {
-        "prediction": F.col("prediction"),
-        "subtype": F.col("catme_subtype") if "catme_subtype" in df.columns else F.lit(None).cast("string"),
-        "minority_category": F.when(F.col("is_minority_pattern"), F.col("minority_category")),
-    }
+    subtype = F.col("catme_subtype") if "catme_subtype" in df.columns else F.lit(None)
+    category = F.when(F.col("is_minority_pattern"), F.col("minority_category"))
+    keys = {"all": F.lit(""), "label": F.col("prediction"), "category": category, "subtype": subtype}
+    entries = F.array(*[
+        F.struct(F.lit(k).alias("kind"), c.cast("string").alias("key")) for k, c in keys.items()
+    ])
     mismatch = F.col("mismatch_flag") if "mismatch_flag" in df.columns else F.lit(False)
-    cells = df.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(
+    cells = df.select(
+        F.explode(entries).alias("e"), "is_minority_pattern", "needs_review",
+        mismatch.alias("mismatch_flag"), "confidence", "priority_score",
+    ).filter(F.col("e.key").isNotNull()).groupBy("e.kind", "e.key").agg(
         F.count("*").alias("rows"),
         count_if(F.col("is_minority_pattern")).alias("minority"),
         count_if(F.col("needs_review")).alias("needs_review"),
-        count_if(mismatch).alias("mismatch"),
-        F.sum("confidence").alias("conf_sum"), F.count("confidence").alias("conf_n"),
-        F.sum("priority_score").alias("prio_sum"), F.count("priority_score").alias("prio_n"),
+        count_if(F.col("mismatch_flag")).alias("mismatch"),
+        F.avg("confidence").alias("confidence"), F.avg("priority_score").alias("priority"),
     )
-    total = F.sum("rows")
-    pct = lambda c: 100.0 * F.sum(c) / F.greatest(F.lit(1), total)
+    # A category list counts for each of its categories.
+    parts = F.filter(F.transform(F.split("key", r"\|"), lambda c: F.trim(c)), lambda c: c != "")
+    names = F.when(F.col("kind") == "category", parts).otherwise(F.array("key"))
+    per_key = cells.withColumn("key", F.explode(names))
+    totals = per_key.groupBy("kind", "key").agg(F.sum("rows").alias("n"), *[
+        F.first(c).alias(c) for c in ("minority", "needs_review", "mismatch", "confidence", "priority")
+    ])
+    whole = lambda c: F.max(F.when(F.col("kind") == "all", F.col(c)))
+    total = F.coalesce(whole("n"), F.lit(0))
+    count = lambda c: F.coalesce(whole(c), F.lit(0))
     show = (lambda c, d: F.round(c, d)) if digits else (lambda c, d: c)
-    summed = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    # try_divide: a run without any confidence or score reports 0.
-    mean = lambda s, n: F.coalesce(F.try_divide(F.sum(s).cast("double"), F.sum(n)), F.lit(0.0))
-    head = cells.agg(
-        F.coalesce(total, F.lit(0)).alias("total"),
-        summed("minority").alias("minority"), show(pct("minority"), 2).alias("minority_pct"),
-        summed("needs_review").alias("needs_review"), show(pct("needs_review"), 2).alias("review_pct"),
-        summed("mismatch").alias("mismatch"), show(pct("mismatch"), 2).alias("mismatch_pct"),
-        show(mean("conf_sum", "conf_n"), 4).alias("avg_confidence"),
-        show(mean("prio_sum", "prio_n"), 2).alias("avg_priority_score"),
+    pct = lambda c: show(100.0 * count(c) / F.greatest(F.lit(1), total), 2)
+    counted = lambda kind: F.map_from_entries(
+        F.collect_list(F.when(F.col("kind") == kind, F.struct("key", "n")))
+    )
+    summary = totals.agg(
+        total.alias("total"),
+        count("minority").alias("minority"), pct("minority").alias("minority_pct"),
+        count("needs_review").alias("needs_review"), pct("needs_review").alias("review_pct"),
+        count("mismatch").alias("mismatch"), pct("mismatch").alias("mismatch_pct"),
+        show(F.coalesce(whole("confidence"), F.lit(0.0)), 4).alias("avg_confidence"),
+        show(F.coalesce(whole("priority"), F.lit(0.0)), 2).alias("avg_priority_score"),
+        counted("label").alias("label_distribution"),
+        counted("category").alias("minority_category_breakdown"),
+        counted("subtype").alias("catme_subtype_distribution"),
     )
-    per = lambda frame, key: frame.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sum("rows").alias("n"))
-    head = head.withColumns({
-        "label_distribution": _count_map(per(cells, "prediction"), "prediction"),
-        "minority_category_breakdown": _count_map(per(split_categories(cells), "category"), "category"),
-        "catme_subtype_distribution": _count_map(per(cells, "subtype"), "subtype"),
-    })
-    if mode is not None:
-        checks = success_criteria(df, mode).select(F.struct("*"))
-        head = head.withColumns({"feedback_mode": F.lit(mode), "success_criteria": checks.scalar()})
-    return head
+    if mode is None:
+        return summary
+    checks = success_criteria(df, mode).select(F.struct("*"))
+    return summary.withColumns({"feedback_mode": F.lit(mode), "success_criteria": checks.scalar()})
 
 
 def imbalance_check(df: DataFrame, col: str = "label", limit: float = 0.30) -> DataFrame:

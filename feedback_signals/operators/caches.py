@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import text_hash
+from ..session import materialize
 from .lookup import attach
 
 KEY = "text_hash"
@@ -75,8 +76,8 @@ def score_distinct(
     keyed = with_key(df, text)
     texts = distinct_texts(keyed, row_id, text)
     if cache_path is None:
-        results = score(texts).select(KEY, value)
-        return attach(keyed, results, KEY)
+        # Stored, so that choosing the join does not run the function again.
+        return attach(keyed, materialize(score(texts).select(KEY, value)), KEY)
     spark = df.sparkSession
     if table_exists(spark, cache_path):
         texts = not_cached(texts, spark.read.parquet(cache_path), text)

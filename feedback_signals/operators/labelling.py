@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import labels as L
 from ..functions.text import strip
+from ..session import materialize
 from .lookup import attach
 from .quantiles import exact_quantiles
 from .reshape import named
@@ -64,7 +65,7 @@ def derive_labels(
 def first_label_per_text(df: DataFrame, label: str = "label", key: str = "text_hash", row_id: str = "row_id") -> DataFrame:
     """Every row takes the label of the first row with the same text.  An
     aggregate, not a window: a text may fill a third of the table."""
-    first = df.groupBy(key).agg(F.min_by(label, row_id).alias("_first"))
+    first = materialize(df.groupBy(key).agg(F.min_by(label, row_id).alias("_first")))
     return attach(df, first, key).withColumn(label, F.col("_first")).drop("_first")
 
 

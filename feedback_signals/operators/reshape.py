@@ -28,7 +28,7 @@ def drop_short(df: DataFrame, min_chars: int = 5, strip: bool = False, col: str
 
 
 def drop_noise(df: DataFrame, col: str = "text") -> DataFrame:
-    return df.withColumn(col, X.strip(F.col(col))).filter(X.is_meaningful(F.col(col)))
+    return df.filter(X.is_meaningful(F.col(col))).withColumn(col, X.strip(F.col(col)))
 
 
 def anonymize(

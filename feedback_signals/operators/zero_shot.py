@@ -180,16 +180,22 @@ def label_by_dimension(
     universe = list(C.PROFESSOR_CANDIDATES)
     trimmed = df.withColumn("text", strip(F.col("text")))
     offered = dimension_candidates(trimmed, strict_keys)
-    single = offered.filter(F.size("candidates") == 1).withColumn("candidate", F.col("candidates")[0])
-    several = offered.filter(F.size("candidates") > 1).withColumn(
-        "_scores", (scorer or token_cosine)(F.col("text"), universe)
-    )
-    position = {c: i for i, c in enumerate(universe)}
-    index = F.create_map(*[x for c, i in position.items() for x in (F.lit(c), F.lit(i))])
+    index = F.create_map(*[x for i, c in enumerate(universe) for x in (F.lit(c), F.lit(i))])
     allowed = F.transform("candidates", lambda c: F.get("_scores", index[c]))
     chosen = F.get("candidates", argmax_position(allowed))
-    several = several.withColumn("candidate", chosen).drop("_scores")
-    labelled = map_labels(single.unionByName(several), C.PROFESSOR_CANDIDATES, default)
+    score = (scorer or token_cosine)(F.col("text"), universe)
+    choose = lambda rows, s: rows.withColumn("_scores", s).withColumn("candidate", chosen).drop("_scores")
+    several = F.size("candidates") > 1
+    if scorer is None:
+        # An expression is only evaluated where it is asked for: one scan.
+        named = choose(offered, F.when(several, score)).withColumn(
+            "candidate", F.coalesce("candidate", F.col("candidates")[0])
+        )
+    else:
+        # A UDF runs on every row it is given: rows are split before it.
+        single = offered.filter(~several).withColumn("candidate", F.col("candidates")[0])
+        named = single.unionByName(choose(offered.filter(several), score))
+    labelled = map_labels(named, C.PROFESSOR_CANDIDATES, default)
     settled = first_label_per_text(with_key(labelled), "label")
     return settled.withColumn("sentiment", F.col("label")).drop(
         "label", "candidate", "candidates", "rating_bucket", "text_hash"

@@ -22,7 +22,7 @@ from ..operators.entities import mixed_signals
 from ..operators.reshape import anonymize, drop_short, feedback_mode_of, melt_dimensions
 from ..operators.views import by_priority
 from ..operators.zero_shot import token_cosine, zero_shot_multi
-from ..session import materialize
+from ..session import materialize, spread_small
 from ..sources.files import Ingested, detect_roles, read_feedback
 
 # Without a trained model a text is compared with the label descriptions.
@@ -91,7 +91,7 @@ def run_pipeline(
 ) -> DataFrame:
     """The scored table of ``source`` (with ``row_id``), unordered; see
     ``by_priority`` for reading it in order."""
-    found = source if isinstance(source, Ingested) else detect_roles(source)
+    found = source if isinstance(source, Ingested) else detect_roles(spread_small(source))
     settings, rating_col = options.settings, found.rating_col
     rows = drop_short(found.df, settings.min_chars)
     if mode is None:
@@ -125,7 +125,7 @@ def run_file(spark: SparkSession, path: str, options: Options, mode: str | None
 
 def run_minority(df: DataFrame | Ingested, options: Options) -> tuple[DataFrame, DataFrame]:
     """Detection only: the flagged rows, and a one-row summary."""
-    found = df if isinstance(df, Ingested) else detect_roles(df)
+    found = df if isinstance(df, Ingested) else detect_roles(spread_small(df))
     rows = drop_short(found.df, options.settings.min_chars)
     if options.anonymize:
         rows = anonymize(rows, placeholder=options.settings.placeholder, ner=options.ner)

@@ -47,3 +47,11 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{scratch_folder(spark)}/stages/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread_small(df: DataFrame, key: str = "row_id") -> DataFrame:
+    """Use all cores for heavy row-wise work on a table read in fewer splits
+    than there are cores.  A table with enough splits is left as it is, so a
+    large one is never shuffled for this.  For plain scans only."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
