@@ -285,6 +285,37 @@ def profile_columns(spark, sf):
     return P.profile_table(rows).select("column", "non_null", "numbers", r9("mean_length"), "low", "high")
 
 
+_LENGTHS = " UNION ALL ".join(
+    f"SELECT '{c}' AS name, avg(length({c})) AS m, {80 * (c == 'text')} AS bonus FROM fb" for c in ("text", "entity", "prediction")
+)
+_RANGES = " UNION ALL ".join(
+    f"SELECT {i} AS k, '{c}' AS name, min({c}) AS low, max({c}) AS high FROM fb" for i, c in enumerate(("row_id", "rating", "confidence"))
+)
+
+
+@query("detect_columns", f"""
+WITH {T.FB}, lengths AS ({_LENGTHS}), ranges AS ({_RANGES})
+SELECT 'text' AS role, row_number() OVER (ORDER BY m + bonus DESC) AS position, name FROM lengths WHERE m >= 10
+UNION ALL SELECT 'rating', 1, first(name ORDER BY k) FROM ranges WHERE low >= 1 AND high <= 10""")
+def detect_columns(spark, sf):
+    profile = P.profile_columns(T.feedback(spark, sf))
+    names = P.detect_text_columns(profile)
+    found = [("text", i + 1, c) for i, c in enumerate(names)]
+    found += [("rating", 1, P.detect_rating_column(profile, names))]
+    label = P.detect_label_column(profile, names)
+    found += [("label", 1, label)] if label else []
+    return spark.createDataFrame(found, "role string, position long, name string")
+
+
+@query("detect_rating_text_pairs", f"""
+WITH {T.WIDE}, f AS (SELECT bool_and(teaching IN (-1, 0, 1)) AS a, bool_and(labwork IN (-1, 0, 1)) AS b FROM wide)
+SELECT 'teaching' AS rating, 'teaching_text' AS text, 'teaching' AS dimension FROM f WHERE a AND b
+UNION ALL SELECT 'labwork', 'labwork_text', 'labwork' FROM f WHERE a AND b""")
+def detect_rating_text_pairs(spark, sf):
+    pairs = P.detect_rating_text_pairs(P.profile_columns(T.wide_course(spark, sf)))
+    return spark.createDataFrame(pairs, "rating string, text string, dimension string")
+
+
 def _entity(df):
     return R.summary_entity_column(df.columns)
 

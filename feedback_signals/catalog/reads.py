@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators import aggregates as A, entities as N, views as V
-from ..sources import runs, sinks
+from ..session import scratch_folder
+from ..sources import files, runs, sinks
 from . import frames as T
 from .aggregates import _CELLS, r9
 from .registry import query
@@ -177,3 +180,28 @@ def latest_runs(spark, sf):
 @query("export_report_row")
 def export_report_row(spark, sf):
     return sinks.report(T.scored(spark, sf), C.S2P).select("label_count", "summary.total", "summary.minority")
+
+
+def _missing_as_null(column: str) -> str:
+    return f"CASE WHEN {column} NOT IN {T.in_sql(files.MISSING)} THEN {column} END"
+
+
+@query("csv_round_trip", f"""
+WITH {T.FB} SELECT row_id, md5(replace({_missing_as_null('text')}, chr(13) || chr(10), chr(10))) AS text_md5, rating, prediction FROM fb""")
+def csv_round_trip(spark, sf):
+    """A full export, read back as a feedback file."""
+    path = f"{scratch_folder(spark)}/exports/{uuid.uuid4().hex}"
+    source = T.feedback(spark, sf).select(F.col("row_id").alias("id"), "text", "rating", "prediction")
+    sinks.export_full(source, path)
+    rows = files.read_feedback(spark, path)
+    text = F.replace("text", F.lit("\r\n"), F.lit("\n"))
+    return rows.select(F.col("id").alias("row_id"), F.md5(text).alias("text_md5"), "rating", "prediction")
+
+
+@query("export_by_label", f"""
+WITH {T.FB} SELECT prediction AS label, count(*) AS n FROM fb GROUP BY prediction""")
+def export_by_label(spark, sf):
+    """One folder per label, counted by the folder each row was read from."""
+    path = f"{scratch_folder(spark)}/exports/{uuid.uuid4().hex}"
+    sinks.export_by_label(T.feedback(spark, sf).select("row_id", "prediction", "confidence"), path)
+    return spark.read.option("header", True).csv(path).groupBy("label").agg(F.count("*").alias("n"))
