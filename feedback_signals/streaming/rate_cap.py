@@ -17,14 +17,23 @@ from ..operators.lookup import salted_join
 
 def accept(times: np.ndarray, accepted: deque, n: int, window: int) -> np.ndarray:
     """Fold over ascending ``times`` (microseconds); ``accepted`` holds the last
-    ``n`` accepted times and is updated."""
+    accepted times, at most ``n``, and is updated.
+
+    A full window refuses everything up to a known time, so refused events are
+    skipped by binary search: the steps taken are the accepted events.
+    """
     verdict = np.zeros(len(times), dtype=bool)
-    for i, t in enumerate(times):
+    i = 0
+    while i < len(times):
+        t = times[i]
         while accepted and t - accepted[0] >= window:
             accepted.popleft()
         if len(accepted) < n:
             accepted.append(t)
             verdict[i] = True
+            i += 1
+        else:
+            i += max(1, int(np.searchsorted(times[i:], accepted[0] + window)))
     return verdict
 
 
@@ -35,15 +44,15 @@ def _micros(ts: str):
 def rate_cap(
     events: DataFrame, key: str = "key", ts: str = "ts", n: int = 5, seconds: float = 60, event_id: str = "event_id"
 ) -> DataFrame:
-    """``events`` plus ``accepted``.
+    """``events`` plus ``accepted``, which is null where the key is.
 
     A pause of a whole window resets a key, so its events fall into independent
     runs.  The runs are found on counts per (key, window-long slot), not on the
     events.  Runs of at most ``n`` events are accepted as they stand; the others
-    are streamed through the fold in time order, ``n`` times in memory.
+    are streamed through the fold in time order, with ``n`` times in memory.
     """
     window = int(seconds * 1_000_000)
-    timed = events.withColumn("_t", _micros(ts)).withColumn("_slot", F.floor(F.col("_t") / window))
+    timed = events.filter(F.col(key).isNotNull()).withColumn("_t", _micros(ts)).withColumn("_slot", F.floor(F.col("_t") / window))
     slots = timed.groupBy(key, "_slot").agg(
         F.min("_t").alias("_from"), F.max("_t").alias("_to"), F.count("*").alias("_n")
     )
@@ -61,20 +70,22 @@ def rate_cap(
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, accepted = None, deque()
         for batch in batches:
-            times = batch["_t"].to_numpy()
-            groups = list(zip(batch[key], batch["_run"]))
+            times, keys, runs_ = (batch[c].to_numpy() for c in ("_t", key, "_run"))
             verdict = np.zeros(len(batch), dtype=bool)
-            edges = [0, *[i for i in range(1, len(groups)) if groups[i] != groups[i - 1]], len(groups)]
+            turns = np.flatnonzero((keys[1:] != keys[:-1]) | (runs_[1:] != runs_[:-1])) + 1
+            edges = [0, *turns.tolist(), len(batch)]
             for start, stop in zip(edges, edges[1:]):
                 if start == stop:
                     continue
-                if groups[start] != current:
-                    current, accepted = groups[start], deque()
+                if (keys[start], runs_[start]) != current:
+                    current, accepted = (keys[start], runs_[start]), deque()
                 verdict[start:stop] = accept(times[start:stop], accepted, n, window)
             yield batch.assign(accepted=verdict)
 
     folded = ordered.mapInPandas(fold, schema)
-    return easy.unionByName(folded).drop("_t", "_slot", "_run", "_size")
+    keyless = events.filter(F.col(key).isNull()).withColumn("accepted", F.lit(None).cast("boolean"))
+    judged = easy.unionByName(folded).drop("_t", "_slot", "_run", "_size")
+    return judged.unionByName(keyless)
 
 
 def rate_cap_stream(

@@ -166,8 +166,9 @@ def expected_cap(rows, n):
 @pytest.mark.parametrize("n", [2, 5])
 def test_rate_cap(spark, n):
     rows, events = cap_events(spark)
-    got = {r.event_id: r.accepted for r in RC.rate_cap(events, n=n).collect()}
-    assert got == expected_cap(rows, n)
+    keyless = spark.createDataFrame([(-1, None)], "event_id long, key string").withColumn("ts", F.current_timestamp())
+    got = {r.event_id: r.accepted for r in RC.rate_cap(events.unionByName(keyless), n=n).collect()}
+    assert got == {**expected_cap(rows, n), -1: None}
 
 
 def test_sixth_is_refused_and_old_ones_do_not_count():
