@@ -228,7 +228,18 @@ def run_minority(spark, sf):
     return flagged.drop("feedback")
 
 
-@query("score_texts")
+def _hits_sql(words) -> str:
+    return " + ".join(f"contains(lower(text), '{w}')::INT" for w in words)
+
+
+@query("score_texts", f"""
+WITH documents AS (SELECT conv_id * 1000000 + turn AS doc_id, conv_id, turn, text FROM conversations),
+a AS (WITH {_cosine_sql({**C.PEER_CANDIDATES, **C.SELF_CANDIDATES})} SELECT doc_id, label, score FROM best),
+b AS (WITH {_cosine_sql(C.PROFESSOR_CANDIDATES)} SELECT doc_id, label, score FROM best),
+m AS (SELECT doc_id, conv_id, turn, {_hits_sql(C.PEER_SIGNALS)} >= {_hits_sql(C.PROFESSOR_SIGNALS)} AS peer FROM documents),
+r AS (SELECT conv_id, turn, CASE WHEN peer THEN a.label ELSE b.label END AS prediction,
+  round(CASE WHEN peer THEN a.score ELSE b.score END, 4) AS confidence FROM m JOIN a USING (doc_id) JOIN b USING (doc_id))
+SELECT conv_id, turn, prediction, {T.BROAD.format(c='prediction')} AS broad_sentiment, {T.priority_sql('false')} AS priority_score FROM r""")
 def score_texts(spark, sf):
     rows = PL.score_texts(T.table(spark, sf, "conversations"))
     return rows.select("conv_id", "turn", "prediction", "broad_sentiment", "priority_score")

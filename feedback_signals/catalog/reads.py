@@ -177,7 +177,8 @@ def latest_runs(spark, sf):
     return runs.latest_runs(log, search="PROFESSOR").select("run_id", "filename", "mode")
 
 
-@query("export_report_row")
+@query("export_report_row", f"""
+WITH {T.SCORED} SELECT count(DISTINCT prediction)::INT AS label_count, count(*) AS total, count(*) FILTER (is_minority_pattern) AS minority FROM scored""")
 def export_report_row(spark, sf):
     return sinks.report(T.scored(spark, sf), C.S2P).select("label_count", "summary.total", "summary.minority")
 

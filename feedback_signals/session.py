@@ -3,6 +3,7 @@ the loss of an executor."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -52,6 +53,10 @@ def materialize(df: DataFrame) -> DataFrame:
 def spread_small(df: DataFrame, key: str = "row_id") -> DataFrame:
     """Use all cores for heavy row-wise work on a table read in fewer splits
     than there are cores.  A table with enough splits is left as it is, so a
-    large one is never shuffled for this.  For plain scans only."""
+    large one is never shuffled for this; neither is one that a shuffle already
+    spreads, whose stages would have to run first to be counted."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if re.search(r"(?<!Broadcast)Exchange", plan):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
