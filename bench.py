@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from feedback_signals.catalog import QUERIES
@@ -35,7 +36,8 @@ def main() -> None:
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g",
-        "spark.driver.host": "127.0.0.1", "spark.driver.bindAddress": "127.0.0.1",
+        "spark.driver.host": "127.0.0.1",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="checkpoints-"), "spark.driver.bindAddress": "127.0.0.1",
     })
     spark.sparkContext.setLogLevel("ERROR")
     spent = {}

@@ -4,8 +4,8 @@ the loss of an executor."""
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,25 +29,82 @@ def build_session(app: str = "feedback_signals", master: str | None = None, **co
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.  Only a
-    session that names none (a test) gets a folder of its own."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        shared = tempfile.mkdtemp(prefix="feedback-signals-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        raise RuntimeError(
+            "spark.checkpoint.dir is not set: name a folder that the driver and all executors share; "
+            "intermediate tables are written there"
+        )
     return shared.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def name_folder(spark: SparkSession, make_folder: Callable[[], str]) -> None:
+    """Give a session that names no shared folder one of its own.  Only a local
+    master may do so: there the driver and the tasks are one process."""
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            scratch_folder(spark)  # raises
+        spark.conf.set("spark.checkpoint.dir", make_folder())
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
 
-    Cuts the lineage, survives the loss of executors, and later reads take only
-    the columns they need.
+class Stages:
+    """The intermediate tables of one run.
+
+    ``write`` stores a table in the shared folder and reads it back: lineage is
+    cut, lost executors cost nothing, and later reads take only the columns they
+    need.  ``drop`` deletes a table that nothing reads any more; ``close`` (or
+    leaving the ``with`` block) deletes all that are left.  What a returned lazy
+    result still reads is written with ``keep=True`` and deleted when the
+    application ends.
     """
-    spark = df.sparkSession
-    path = f"{scratch_folder(spark)}/stages/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._held: dict[int, tuple[DataFrame, str]] = {}
+
+    def path(self, keep: bool = False) -> str:
+        path = f"{scratch_folder(self.spark)}/stages/{uuid.uuid4().hex}"
+        if keep:
+            system, target = _file_system(self.spark, path)
+            system.deleteOnExit(target)
+        return path
+
+    def write(self, df: DataFrame, keep: bool = False) -> DataFrame:
+        path = self.path(keep)
+        df.write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        if not keep:
+            self._held[id(back)] = (back, path)
+        return back
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            _, path = self._held.pop(id(table), (None, None))
+            if path:
+                system, target = _file_system(self.spark, path)
+                system.delete(target, True)
+
+    def close(self) -> None:
+        self.drop(*[table for table, _ in list(self._held.values())])
+
+    def __enter__(self) -> "Stages":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """``Stages.write`` for a table whose reader is the caller's lazy result: it
+    stays until the application ends."""
+    return Stages(df.sparkSession).write(df, keep=True)
 
 
 def spread_small(df: DataFrame, key: str = "row_id") -> DataFrame:

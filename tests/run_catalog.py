@@ -5,6 +5,7 @@
 
 import os
 import sys
+import tempfile
 import time
 import traceback
 
@@ -21,7 +22,8 @@ from feedback_signals.session import build_session  # noqa: E402
 def main(folder, names):
     spark = build_session("catalog", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g",
-        "spark.driver.host": "127.0.0.1", "spark.driver.bindAddress": "127.0.0.1",
+        "spark.driver.host": "127.0.0.1",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="checkpoints-"), "spark.driver.bindAddress": "127.0.0.1",
     })
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls = connect(folder), entry.oracle_sql()
