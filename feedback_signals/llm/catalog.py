@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, sharding
+from . import decontaminate, exact_dedup, sharding, simhash
 
 QUERIES = {}
 ORACLES = {}
@@ -40,3 +40,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
