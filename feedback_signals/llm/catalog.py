@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, sharding, simhash
+from . import decontaminate, exact_dedup, sharding, simhash, substring_dedup
 
 QUERIES = {}
 ORACLES = {}
@@ -45,3 +45,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
