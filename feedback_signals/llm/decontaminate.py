@@ -3,24 +3,27 @@
 A mask such as ``1101100101`` slides over the words of a text and hashes the words
 under its ones, so a substituted word under a zero does not disturb it.  Hashes of
 the documents are joined with hashes of the benchmark; each hit fixes an alignment
-(document start of the item), and the words around the hit are compared: a window
-of ``window`` words (the whole item, if shorter) over the hit must agree in at
-least ``min_ratio`` of its words.
+(document start of the item), and the words along it are compared: a window of
+``window`` words (the whole item, if shorter) must agree in at least ``min_ratio``
+of its words.  Hashes travel without their text; only documents with a hit are read
+again.
 
 Words are the runs of letters and digits of the lower-cased text.  An item shorter
 than the masks is one seed of its own, without gaps.  Items without words match
-nothing, and neither do null or empty texts.  Repeated rows give repeated verdicts
+nothing, and neither do null or empty texts; rows without an id are not reported.  Repeated rows give repeated verdicts
 folded into one row per (doc_id, item_id).  Empty tables give an empty result;
 further columns are ignored, whatever their names.
 
-The documents are never shuffled while the benchmark's seeds are at most
-``BROADCAST_SEEDS`` (checked); beyond that the hashes are joined by shuffle.
+The seeds of the benchmark are broadcast while they are at most ``BROADCAST_SEEDS``
+(checked); beyond that the hashes are joined by shuffle.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import Stages
+
 #: Masks of weight 6 over ten words.
 MASKS = ("1101100101", "1110001011", "1011010011")
 SPAN = len(MASKS[0])
@@ -61,8 +64,23 @@ def _seeds(df: DataFrame, short: list[int], keep: list[str]) -> DataFrame:
 
 def _agreement(doc: Column, item: Column, start: Column, begin: Column, length: Column) -> Column:
     """Equal words of the document and item at item positions begin .. begin + length."""
-    pairs = F.arrays_zip(F.slice(doc, start + begin + 1, length), F.slice(item, begin + 1, length))
-    return F.size(F.filter(pairs, lambda p: p["0"] == p["1"]))
+    pairs = F.arrays_zip(F.slice(doc, start + begin + 1, length).alias("x"), F.slice(item, begin + 1, length).alias("y"))
+    return F.size(F.filter(pairs, lambda p: p["x"] == p["y"]))
+
+
+def _verified(hit: Column, keys: Column, window: int, min_ratio: float) -> Column:
+    """The best window of an alignment as (matched_words, -doc_start, ...), else null."""
+    item, start = hit["item_keys"], hit["start"]
+    size = F.least(F.lit(window), F.size(item))
+    first = F.greatest(F.lit(0), -start)  # item words that have a partner in the document
+    last = F.least(F.size(item), F.size(keys) - start) - size
+    best = F.array_max(F.transform(
+        F.when(last >= first, F.sequence(first, last)), lambda b: _agreement(keys, item, start, b, size)
+    ))
+    return F.when(best >= F.ceil(F.lit(min_ratio) * size), F.struct(
+        hit["item_id"].alias("item_id"), best.alias("matched_words"), (-start).alias("order"),
+        size.alias("window_words"), F.size(item).alias("item_words"),
+    ))
 
 
 def contaminated(
@@ -77,41 +95,35 @@ def contaminated(
 ) -> DataFrame:
     """``doc_id, item_id, matched_words, window_words, item_words, doc_start``: one
     row per document and benchmark item that overlap, with the best window."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), word_keys(F.col(item_text)).alias("keys")).filter(
-        F.size("keys") > 0
-    )
+    stages = Stages(docs.sparkSession)
+    items = stages.write(benchmark.select(
+        F.col(item_id).alias("item_id"), word_keys(F.col(item_text)).alias("keys")
+    ).filter(F.size("keys") > 0), keep=True)
     short = sorted(r[0] for r in items.filter(F.size("keys") < SPAN).select(F.size("keys")).distinct().collect())
-    texts = docs.select(F.col(doc_id).alias("doc_id"), word_keys(F.col(text)).alias("keys"))
     # A short item is only sought whole, so it is hashed at its own length alone.
-    wanted = _grams(items.filter(F.size("keys") >= SPAN), SPAN, MASKS, ["item_id", "keys"])
+    wanted = _grams(items.filter(F.size("keys") >= SPAN), SPAN, MASKS, ["item_id"])
     for span in short:
-        exact = items.filter(F.size("keys") == span)
-        wanted = wanted.unionByName(_grams(exact, span, ("1" * span,), ["item_id", "keys"]))
-    wanted = wanted.select(
-        "seed", "item_id", F.col("at").alias("item_at"), F.size("keys").alias("item_words"), F.col("keys").alias("item_keys")
-    )
-    if wanted.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
+        wanted = wanted.unionByName(_grams(items.filter(F.size("keys") == span), span, ("1" * span,), ["item_id"]))
+    wanted = stages.write(wanted.select("seed", "item_id", F.col("at").alias("item_at")))
+    if wanted.count() <= BROADCAST_SEEDS:
         wanted = F.broadcast(wanted)
-    hits = _seeds(texts, short, ["doc_id", "keys"]).join(wanted, "seed")
-
-    size = F.least(F.lit(window), F.col("item_words"))
-    start = F.col("at") - F.col("item_at")
-    first = F.greatest(F.lit(0), -start)  # item words that have a partner in the document
-    last = F.least(F.col("item_words"), F.size("keys") - start) - size
-    span = F.least(F.lit(SPAN), F.col("item_words"))
-    options = F.filter(
-        F.sequence(F.col("item_at") + span - size, F.col("item_at")), lambda b: (b >= first) & (b <= last)
+    texts = docs.select(F.col(doc_id).alias("doc_id"), word_keys(F.col(text)).alias("keys"))
+    hits = stages.write(
+        _seeds(texts, short, ["doc_id"]).join(wanted, "seed")
+        .select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("start")).distinct(),
+        keep=True,
     )
-    best = F.array_max(F.transform(
-        options, lambda b: _agreement(F.col("keys"), F.col("item_keys"), start, b, size)
-    ))
-    checked = hits.select(
-        "doc_id", "item_id", best.alias("matched_words"), size.alias("window_words"), "item_words",
-        start.alias("doc_start"),
-    ).filter(F.col("matched_words") >= F.ceil(F.lit(min_ratio) * F.col("window_words")))
-    return checked.groupBy("doc_id", "item_id").agg(
-        F.max(F.struct("matched_words", (-F.col("doc_start")).alias("order"), "window_words", "item_words")).alias("best")
-    ).select(
-        "doc_id", "item_id", "best.matched_words", "best.window_words", "best.item_words",
-        (-F.col("best.order")).alias("doc_start"),
+    stages.close()
+    by_doc = hits.join(items.withColumnRenamed("keys", "item_keys"), "item_id").groupBy("doc_id").agg(
+        F.collect_list(F.struct("item_id", "start", "item_keys")).alias("hits")
+    )
+    verified = F.transform("hits", lambda hit: _verified(hit, F.col("keys"), window, min_ratio))
+    return (
+        texts.join(by_doc, "doc_id").select("doc_id", F.explode(verified).alias("hit"))
+        .filter(F.col("hit").isNotNull()).groupBy("doc_id", "hit.item_id")
+        .agg(F.max(F.struct("hit.matched_words", "hit.order", "hit.window_words", "hit.item_words")).alias("best"))
+        .select(
+            "doc_id", "item_id", "best.matched_words", "best.window_words", "best.item_words",
+            (-F.col("best.order")).alias("doc_start"),
+        )
     )
