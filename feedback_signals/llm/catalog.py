@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, decontaminate, exact_dedup, sharding, simhash, substring_dedup
+from . import byte_bpe, decontaminate, exact_dedup, pii, sharding, simhash, substring_dedup, template, toxicity, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -63,3 +63,38 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@_query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages")).drop("path")
+
+
+ORACLES["op3_warc"] = """
+WITH rows AS (
+  SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), marked AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM rows
+)
+SELECT page_id, url, payload_bytes, payload_digest,
+       CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to
+FROM marked
+"""
+
+
+@_query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).withColumn(
+        "n_passages", F.size("passages").cast("long")
+    ).drop("passages")
+
+
+@_query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_columns(pii.find_personal_data(_table(spark, sf_dir, "documents")))
+
+
+@_query
+def op8_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template.extract(_table(spark, sf_dir, "pages"))
