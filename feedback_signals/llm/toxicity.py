@@ -89,6 +89,22 @@ def segments(tokens: list[tuple[int, float]], drift: float = DRIFT) -> list[tupl
     return [(first, last, after - before) for before, after, first, last, _ in stack]
 
 
+class _Held(dict):
+    """Counts of a word's units, remembered for the words last seen; most have none."""
+
+    def __init__(self, counts: dict[str, tuple[int, int]]):
+        self.counts = counts
+
+    def __missing__(self, word: str) -> tuple:
+        if len(self) > _CACHE:
+            self.clear()
+        held = self[word] = tuple(self.counts[u] for u in units(word.lower()) if u in self.counts)
+        return held
+
+    def __reduce__(self):
+        return _Held, (self.counts,)
+
+
 class Model:
     """Counts of units and the fitted curve; small enough to ship to every task."""
 
@@ -96,39 +112,40 @@ class Model:
         self.counts, self.n_toxic, self.n_clean = counts, n_toxic, n_clean
         self.rate, self.density = 1.0, 1e-6
         self.a, self.b = math.log((n_toxic + 0.5) / (n_clean + 0.5)), 0.0
-        self._memo: dict[str, float] = {}
-
-    def token_score(self, word: str, own: int | None = None) -> float:
-        """Log-odds of a word; ``own`` is the label of a document to leave out."""
-        best, certain = 0.0, Z
-        for unit in units(word):
-            held = self.counts.get(unit)
-            if held:
-                t, c = held
-                n1, n0 = self.n_toxic, self.n_clean
-                if own is not None:
-                    t, c, n1, n0 = max(0, t - own), max(0, c - 1 + own), n1 - own, n0 - 1 + own
-                delta, z = log_odds(t, c, n1, n0)
-                if abs(z) >= certain:
-                    best, certain = delta, abs(z)
+        self._held = _Held(counts)
+
+    def token_score(self, held: tuple, own: int | None = None) -> float:
+        """Log-odds of a word with these units' counts; ``own`` is the label of a
+        document to leave out."""
+        best, certain, n1, n0 = 0.0, Z, self.n_toxic, self.n_clean
+        if own is not None:
+            n1, n0 = n1 - own, n0 - 1 + own
+        for t, c in held:
+            if own is not None:
+                t, c = max(0, t - own), max(0, c - 1 + own)
+            delta, z = log_odds(t, c, n1, n0)
+            if abs(z) >= certain:
+                best, certain = delta, abs(z)
         return best
 
     def scan(self, text: str, own: int | None = None):
         """Segments of a text as (first character, end, score), and its number of tokens."""
-        hits, n = [], 0
-        memo = self._memo if own is None else {}
-        if len(memo) > _CACHE:
-            memo.clear()
-        for match in _WORD.finditer(text):
-            word = match.group().lower()
-            score = memo.get(word)
-            if score is None:
-                score = memo[word] = self.token_score(word, own)
-            if score:
-                hits.append((n, score, match.start(), match.end()))
-            n += 1
-        where = {h[0]: h[2:] for h in hits}
-        return [(where[f][0], where[e][1], s) for f, e, s in segments([h[:2] for h in hits])], n
+        held = [self._held[word] for word in _WORD.findall(text)]
+        memo: dict[tuple, float] = {}
+        hits = []
+        for at, counts in enumerate(held):
+            if counts:
+                score = memo.get(counts)
+                if score is None:
+                    score = memo[counts] = self.token_score(counts, own)
+                if score:
+                    hits.append((at, score))
+        found = segments(hits)
+        if not found:
+            return [], len(held)
+        wanted = {at for first, last, _ in found for at in (first, last)}
+        where = {at: match.span() for at, match in enumerate(_WORD.finditer(text)) if at in wanted}
+        return [(where[first][0], where[last][1], score) for first, last, score in found], len(held)
 
     def expected(self, score: float, n: int) -> float:
         return self.density * max(n, 1) * math.exp(-min(self.rate * score, 700.0))
