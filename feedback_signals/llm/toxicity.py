@@ -40,6 +40,7 @@ from ..session import Stages
 PRIOR = 0.5
 STRENGTH = 10.0
 Z = 3.0
+PREFIXES = (5, 4)
 DRIFT = 0.25
 EXPECTED = 0.01
 FIT_ROWS = 50_000
@@ -51,7 +52,7 @@ _CACHE = 300_000
 
 def units(word: str) -> tuple[str, ...]:
     """The units of a lower-cased word; prefixes carry a mark."""
-    return (word, *(f"{n}:{word[:n]}" for n in (5, 4) if len(word) >= n))
+    return (word, *(f"{n}:{word[:n]}" for n in PREFIXES if len(word) >= n))
 
 
 def log_odds(toxic: float, clean: float, n_toxic: float, n_clean: float) -> tuple[float, float]:
@@ -94,11 +95,14 @@ class _Held(dict):
 
     def __init__(self, counts: dict[str, tuple[int, int]]):
         self.counts = counts
+        self._prefixes = {n: {u[2:]: c for u, c in counts.items() if u.startswith(f"{n}:")} for n in PREFIXES}
 
-    def __missing__(self, word: str) -> tuple:
+    def __missing__(self, raw: str) -> tuple:
         if len(self) > _CACHE:
             self.clear()
-        held = self[word] = tuple(self.counts[u] for u in units(word.lower()) if u in self.counts)
+        word = raw.lower()
+        found = [self.counts.get(word), *(held.get(word[:n]) for n, held in self._prefixes.items())]
+        held = self[raw] = tuple(c for c in found if c)
         return held
 
     def __reduce__(self):
@@ -182,18 +186,26 @@ def _logistic(rows: list[tuple[float, int, int]], a: float) -> tuple[float, floa
 
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts per unit of a whole task where they fit, so little is shuffled."""
+    def rows(held):
+        keys = list(held[0] | held[1])
+        return pa.RecordBatch.from_arrays([
+            pa.array(keys, pa.string()), pa.array([held[1][k] for k in keys], pa.int64()),
+            pa.array([held[0][k] for k in keys], pa.int64()),
+        ], ["unit", "toxic", "clean"])
+
+    held = (Counter(), Counter())
     for batch in batches:
-        held: Counter = Counter()
         for text, toxic in zip(batch.column(0), batch.column(1)):
-            words = {m.group().lower() for m in _WORD.finditer(text.as_py() or "")}
-            mark = bool(toxic.as_py())
-            held.update((u, mark) for u in {u for w in words for u in units(w)})
-        keys = list(held)
-        yield pa.RecordBatch.from_arrays([
-            pa.array([k[0] for k in keys], pa.string()),
-            pa.array([held[k] if k[1] else 0 for k in keys], pa.int64()),
-            pa.array([0 if k[1] else held[k] for k in keys], pa.int64()),
-        ], ["unit", "toxic", "clean"])
+            words = {w.lower() for w in _WORD.findall(text.as_py() or "")}
+            into = held[bool(toxic.as_py())]
+            into.update(words)
+            for n in PREFIXES:
+                into.update([f"{n}:{p}" for p in {w[:n] for w in words} if len(p) == n])
+        if len(held[0]) + len(held[1]) > _CACHE:
+            yield rows(held)
+            held = (Counter(), Counter())
+    yield rows(held)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -242,37 +254,31 @@ def _calibrate(rows: DataFrame, model: Model) -> None:
     spark = rows.sparkSession
     shipped = spark.sparkContext.broadcast(model)
 
-    def clean_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, total, tokens = 0, 0.0, 0
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            scores, lengths = [], []
             for text, toxic in zip(batch.column(0), batch.column(1)):
-                if not toxic.as_py():
-                    found, n = shipped.value.scan(text.as_py(), 0)
-                    count, total, tokens = count + len(found), total + sum(s for _, _, s in found), tokens + n
-        yield pa.RecordBatch.from_arrays([pa.array([count]), pa.array([total]), pa.array([tokens])], ["c", "s", "n"])
+                found, n = shipped.value.scan(text.as_py(), int(toxic.as_py()))
+                scores.append([s for _, _, s in found])
+                lengths.append(n)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1), pa.array(scores, pa.list_(pa.float64())), pa.array(lengths, pa.int64())], ["y", "scores", "n"]
+            )
 
-    c, s, n = rows.mapInArrow(clean_segments, "c long, s double, n long").agg(F.sum("c"), F.sum("s"), F.sum("n")).first()
+    stages = Stages(spark)
+    found = stages.write(rows.mapInArrow(scanned, "y int, scores array<double>, n long"))
+    c, s, n = found.filter("y = 0").agg(
+        F.sum(F.size("scores")), F.sum(F.aggregate("scores", F.lit(0.0), lambda total, x: total + x)), F.sum("n")
+    ).first()
     # half a segment of unit score more than seen, so that both stay finite
     model.rate, model.density = min(1.0, (c + 0.5) / (s + 0.5)), (c + 0.5) / max(1, n)
-    shipped.unpersist()
-    fitted = spark.sparkContext.broadcast(model)
-
-    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1)):
-                y = int(toxic.as_py())
-                held[round(fitted.value.evidence(*fitted.value.scan(text.as_py(), y)), 1), y] += 1
-        keys = list(held)
-        yield pa.RecordBatch.from_arrays([
-            pa.array([k[0] for k in keys], pa.float64()), pa.array([k[1] for k in keys], pa.int32()),
-            pa.array([held[k] for k in keys], pa.int64()),
-        ], ["x", "y", "n"])
-
+    expected = lambda score: F.lit(model.density) * F.greatest("n", F.lit(1)) * F.exp(-F.least(score * model.rate, F.lit(700.0)))
+    evidence = F.log1p(F.aggregate("scores", F.lit(0.0), lambda total, x: total + F.log1p(1 / expected(x))))
     # evidence is a logarithm rounded to tenths: some dozens of rows
-    bins = rows.mapInArrow(evidence, "x double, y int, n long").groupBy("x", "y").agg(F.sum("n")).collect()
+    bins = found.groupBy(F.round(evidence, 1).alias("x"), "y").agg(F.count(F.lit(1))).collect()
     model.a, model.b = _logistic([tuple(r) for r in sorted(bins)], model.a)
-    fitted.unpersist()
+    stages.close()
+    shipped.unpersist()
 
 
 def with_scores(docs: DataFrame, model: Model, text: str = "text", prefix: str = "toxicity_") -> DataFrame:
