@@ -152,15 +152,20 @@ def _write_ranges(folder: str, roll_bytes: int):
                         ("bytes", pa.int64()), ("sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll, done = None, []
+        roll, done, marks = None, [], (None, {})
         for batch in batches:
             for i in range(batch.num_rows):
                 shard, page_id, url, html, digest, refers_to = (c[i].as_py() for c in batch.columns)
+                if marks[0] != page_id:
+                    marks = (page_id, {})
+                if refers_to is not None:
+                    marks[1][digest] = refers_to
+                    continue
                 if roll is None or roll.shard != shard:
                     if roll:
                         done.append(roll.close())
                     roll = _Roll(folder, shard, roll_bytes)
-                done.append(roll.add(render(page_id, url, html.encode("utf-8", "surrogatepass"), digest, refers_to)))
+                done.append(roll.add(render(page_id, url, html.encode("utf-8", "surrogatepass"), digest, marks[1].get(digest))))
         if roll:
             done.append(roll.close())
         yield pa.RecordBatch.from_pylist([d for d in done if d], schema)
@@ -168,21 +173,18 @@ def _write_ranges(folder: str, roll_bytes: int):
     return run
 
 
-def record_types(pages: DataFrame) -> DataFrame:
-    """Rows of ``page_id, url, html`` with ``digest`` and ``refers_to``.  Only ids and
-    digests of repeated payloads are joined, salted, since one payload may be most
-    of the table."""
-    rows = pages.withColumn("digest", F.sha2("html", 256)).withColumn("size", F.octet_length("html"))
+def revisits(pages: DataFrame) -> DataFrame:
+    """``page_id, digest, refers_to`` of the revisits.  Only ids and digests are joined,
+    salted, since one payload may be most of the table."""
+    rows = pages.filter(
+        (F.octet_length("html") >= MIN_REVISIT) & F.col("page_id").isNotNull()
+    ).select("page_id", F.sha2("html", 256).alias("digest"))
     first = (
-        rows.filter((F.col("size") >= MIN_REVISIT) & F.col("page_id").isNotNull()).groupBy("digest")
-        .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        .select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        rows.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        .select("digest", "refers_to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(first, ["digest", "salt"], "left").select(
-        "page_id", "url", "html", "digest", "size",
-        F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"),
-    )
+    return salted.join(first, ["digest", "salt"]).filter("refers_to < page_id").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_archive(
@@ -209,9 +211,12 @@ def write_archive(
 
     pyarrow_fs, base = pyarrow.fs.FileSystem.from_uri(folder)
     pyarrow_fs.create_dir(base, recursive=True)
-    placed = record_types(rows).withColumn("shard", place(F.col("page_id")))
-    ordered = placed.repartition(max(1, ranges), "shard").sortWithinPartitions(
-        "shard", "page_id", "digest", "url"
+    # marks of revisits travel to the page's range, ahead of the page: one shuffle of html
+    marked = rows.withColumn("digest", F.sha2("html", 256)).withColumn("refers_to", F.lit(None).cast("long")).unionByName(
+        revisits(rows), allowMissingColumns=True
+    )
+    ordered = marked.withColumn("shard", place(F.col("page_id"))).repartitionById(ranges, "shard").sortWithinPartitions(
+        "shard", "page_id", F.col("refers_to").asc_nulls_last(), "digest", "url"
     ).select("shard", "page_id", "url", "html", "digest", "refers_to")
     ordered.mapInArrow(_write_ranges(folder, roll_bytes), MANIFEST).write.parquet(f"{folder}/manifest")
     return read_manifest(spark, folder)
