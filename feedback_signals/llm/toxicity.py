@@ -197,7 +197,7 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = (Counter(), Counter())
     for batch in batches:
         for text, toxic in zip(batch.column(0), batch.column(1)):
-            words = {w.lower() for w in _WORD.findall(text.as_py() or "")}
+            words = {w.lower() for w in set(_WORD.findall(text.as_py() or ""))}
             into = held[bool(toxic.as_py())]
             into.update(words)
             for n in PREFIXES:
