@@ -30,8 +30,8 @@ CHUNK = 1 << 15
 OVERLAP = 512
 #: A match may look this far beyond its end.
 AHEAD = 4
-_CACHE = 300_000
-_IDS_PER_BATCH = 1 << 21
+_CACHE = 100_000
+_IDS_PER_BATCH = 1 << 17
 
 
 @lru_cache(maxsize=4)
@@ -40,6 +40,11 @@ def load_ranks(vocabulary: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+@lru_cache(maxsize=4)
+def _tokens(vocabulary: str) -> dict[int, bytes]:
+    return {rank: token for token, rank in load_ranks(vocabulary).items()}
+
+
 def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Merges with a heap: n log n for pre-tokens of any length."""
     n = len(piece)
@@ -243,7 +248,7 @@ def encode(
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
     """The rows with ``decoded``, the bytes of their ids (null for null)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = {rank: token for token, rank in load_ranks(vocabulary).items()}
+        tokens = _tokens(vocabulary)
         for batch in batches:
             at = batch.schema.get_field_index(ids)
             for begin in range(0, batch.num_rows, 256):
