@@ -8,7 +8,7 @@ by; prefixes that occur in one text only are leaves and are dropped before any t
 is moved.  A task holds whole prefixes, at most ``TREE_WORDS`` words at a time, and
 builds the subtree of all their suffixes by doubling: suffixes get the number of
 their node at depth 1, 2, 4 ... words, and those that share a node at depth
-``WINDOW`` are a repeat.  A prefix with more than ``FULL`` texts is lengthened to
+``WINDOW`` are a repeat.  A prefix with more than ``FULL`` words is lengthened to
 the whole window; its suffixes meet in a map-side combined minimum, so it may hold a
 third of all documents.
 
@@ -34,10 +34,13 @@ from ..session import Stages
 
 WINDOW = 50
 GRAM = 8
-#: Texts under one prefix; above, the prefix is lengthened.
-FULL = 2000
+#: Words of pieces under one prefix; above, the prefix is lengthened.
+FULL = 150_000
 TREE_WORDS = 400_000
-_CACHE = 500_000
+_CACHE = 100_000
+#: Windows whose anchors are sought at once, and rows of a batch handled at once.
+_BLOCK = 1 << 13
+_ROWS = 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,7 +78,7 @@ def pieces(keys: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarr
     choices = np.lib.stride_tricks.sliding_window_view(rolled, window - gram + 1)
     anchors = np.concatenate([
         rolled[begin + np.arange(len(block)) + block.argmin(axis=1)]
-        for begin in range(0, n, 1 << 16) if len(block := choices[begin : begin + (1 << 16)])
+        for begin in range(0, n, _BLOCK) if len(block := choices[begin : begin + _BLOCK])
     ])
     starts = np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1]])
     return anchors[starts].view(np.int64), starts, np.diff(np.r_[starts, n])
@@ -84,16 +87,20 @@ def pieces(keys: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarr
 def _profile(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _WordKeys()
-        for batch in batches:
-            n, sha, prefixes = [], [], []
+        for batch in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
+            n, sha, prefixes, sizes = [], [], [], []
             for text in batch.column(1):
                 words = _words(text.as_py())
                 n.append(len(words))
                 sha.append(sha256(b" ".join(words)).hexdigest())
-                prefixes.append(np.unique(pieces(_keys(words, cache), window)[0]) if len(words) >= window else [])
+                prefix, _, count = pieces(_keys(words, cache), window)
+                prefix, at = np.unique(prefix, return_inverse=True)
+                prefixes.append(prefix)
+                sizes.append(np.bincount(at, weights=count + window - 1, minlength=len(prefix)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(sha), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "n_words", "sha", "prefixes"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(sha), pa.array(prefixes, pa.list_(pa.int64())),
+                 pa.array(sizes, pa.list_(pa.int32()))],
+                ["doc_id", "n_words", "sha", "prefixes", "sizes"],
             )
     return run
 
@@ -206,7 +213,7 @@ def _ranges(doc, begin, end) -> pa.RecordBatch:
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
         sha, removed, kept = [], [], []
         for text, ranges in zip(batch.column(1), batch.column(2)):
             words = _words(text.as_py())
@@ -227,21 +234,22 @@ def repeats(docs: DataFrame, stages: Stages, window: int = WINDOW, full: int = F
     same words), ``found`` (doc_id, text of documents that share a prefix) and
     ``ranges`` (doc_id, begin, end: words of windows that start in a smaller id)."""
     profile = stages.write(docs.select("doc_id", "text").mapInArrow(
-        _profile(window), "doc_id long, n_words long, sha string, prefixes array<long>"
+        _profile(window), "doc_id long, n_words long, sha string, prefixes array<long>, sizes array<int>"
     ))
     least = profile.groupBy("sha").agg(F.min("doc_id").alias("least"))
-    texts = stages.write(profile.drop("prefixes").join(least, "sha").select(
+    texts = stages.write(profile.drop("prefixes", "sizes").join(least, "sha").select(
         "doc_id", "n_words", "sha", F.coalesce(F.col("least") < F.col("doc_id"), F.lit(False)).alias("copy")
     ), keep=True)
     originals = texts.filter((F.col("n_words") >= window) & ~F.col("copy")).select("doc_id", "sha")
     at = (
         profile.filter(F.col("n_words") >= window).join(originals, ["doc_id", "sha"], "left_semi")
-        .select("doc_id", F.explode("prefixes").alias("prefix"))
+        .select("doc_id", F.explode(F.arrays_zip(F.col("prefixes").alias("prefix"), F.col("sizes").alias("size"))).alias("p"))
+        .select("doc_id", "p.prefix", "p.size")
     )
-    shared = at.groupBy("prefix").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    shared = at.groupBy("prefix").agg(F.count(F.lit(1)).alias("texts"), F.sum("size").alias("words")).filter("texts > 1")
     wanted = at.join(shared, "prefix").groupBy("doc_id").agg(
-        F.collect_set(F.when(F.col("texts") <= full, F.col("prefix"))).alias("few"),
-        F.collect_set(F.when(F.col("texts") > full, F.col("prefix"))).alias("many"),
+        F.collect_set(F.when(F.col("words") <= full, F.col("prefix"))).alias("few"),
+        F.collect_set(F.when(F.col("words") > full, F.col("prefix"))).alias("many"),
     )
     found = stages.write(docs.select("doc_id", "text").join(wanted, "doc_id"), keep=True)
     stages.drop(profile)

@@ -129,6 +129,9 @@ def test_substring_dedup_equals_brute_force(spark):
     found = substring_dedup.remove_repeats(fixtures.table(spark))
     assert fixtures.collected(found, "doc_id", "n_words", "n_removed", "kept_sha256") == _kept(rows, 50)
     assert any(r[2] == 70 for r in _kept(rows, 50))
+    for full in (0, 400):  # all prefixes lengthened, and only those of many words
+        found = substring_dedup.remove_repeats(fixtures.table(spark), full=full)
+        assert fixtures.collected(found, "doc_id", "n_words", "n_removed", "kept_sha256") == _kept(rows, 50)
     assert substring_dedup.remove_repeats(fixtures.empty(spark)).count() == 0
 
 
