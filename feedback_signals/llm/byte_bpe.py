@@ -96,15 +96,21 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Encoder(dict):
-    """Pre-token to ids, remembering the last ones."""
+    """Pre-token to ids, remembering the last ones in two generations, so that
+    frequent pre-tokens outlive a full cache."""
 
     def __init__(self, vocabulary: str, pattern: str):
         self.ranks, self.split = load_ranks(vocabulary), regex.compile(pattern).findall
+        self.old: dict[str, list[int]] = {}
 
     def __missing__(self, token: str) -> list[int]:
         if len(self) > _CACHE:
+            self.old = dict(self)
             self.clear()
-        ids = self[token] = merge(token.encode("utf-8", "surrogatepass"), self.ranks)
+        ids = self.old.get(token)
+        if ids is None:
+            ids = merge(token.encode("utf-8", "surrogatepass"), self.ranks)
+        self[token] = ids
         return ids
 
     def __call__(self, text: str) -> list[int]:
