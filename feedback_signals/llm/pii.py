@@ -4,7 +4,7 @@ Base detection finds e-mail addresses, IPv4 addresses, card numbers (Luhn) and
 phone numbers as they stand.  Two transducers then rewrite a text, each keeping
 the source span of every character it writes: the first folds homoglyphs, full-width
 forms and invisible characters; the second folds spelled digits and the disguises
-of ``@`` and ``.``.  Identifiers found in the rewritten text are mapped back, and
+of ``@`` and ``.``, in addresses and between groups of digits.  Identifiers found in the rewritten text are mapped back, and
 those that lie on rewritten characters and overlap no base span of their kind are
 added.  All scans take time linear in the text.
 
@@ -50,12 +50,18 @@ _ODD = re.compile(f"[{re.escape(''.join(_FOLD) + INVISIBLE)}]")
 _WORDS = "|".join(sorted(map(re.escape, _DIGIT), key=len, reverse=True))
 _SPELLED = re.compile(rf"(?<!\w)(?:plus[ ]{{1,3}})?(?:(?:{_WORDS}|[0-9]{{1,4}})[ ,-]{{1,3}}){{{SPELLED_RUN - 1},}}(?:{_WORDS}|[0-9]{{1,4}})(?!\w)", re.I)
 _SPELLED_PART = re.compile(rf"plus[ ]+|{_WORDS}|[ ,-]+", re.I)
-_AT = r"(?:[ \t]{0,3}[\[({<][ \t]{0,3}at[ \t]{0,3}[\])}>][ \t]{0,3}|[ \t]{1,3}at[ \t]{1,3}|[ \t]{0,3}@[ \t]{0,3})"
+_AT = r"(?:[ \t]{0,3}[\[({<][ \t]{0,3}(?:at|@)[ \t]{0,3}[\])}>][ \t]{0,3}|[ \t]{1,3}at[ \t]{1,3}|[ \t]{0,3}@[ \t]{0,3})"
 _DOT = r"(?:[ \t]{0,3}[\[({<][ \t]{0,3}(?:dot|\.)[ \t]{0,3}[\])}>][ \t]{0,3}|[ \t]{1,3}dot[ \t]{1,3}|\.)"
 #: An address up to its first disguise: the part after a disguised @ must hold a
 #: (disguised) dot, else "at" is the word.  Labels are at most 63 characters.
 _ADDRESS = re.compile(rf"(?<=[A-Za-z0-9_%+-])(?P<at>{_AT})(?P<domain>[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}})+)", re.I)
 _DOTS = re.compile(_DOT, re.I)
+#: A (disguised) dot between digits, and four or more dotted groups of digits or of
+#: up to four digit words.
+_DIGIT_DOT = re.compile(rf"(?<=[0-9]){_DOT}(?=[0-9])", re.I)
+_GROUP = rf"(?:[0-9]{{1,4}}|(?:{_WORDS})(?:[ ,-]{{1,3}}(?:{_WORDS})){{0,3}})"
+_DOTTED = re.compile(rf"(?<!\w)(?:plus[ ]{{1,3}})?{_GROUP}(?:{_DOT}{_GROUP}){{3,}}(?!\w)", re.I)
+_DOTTED_PART = re.compile(rf"plus[ ]+|{_WORDS}|{_DOT}|[ ,-]+", re.I)
 _LOCAL_DOT = re.compile(rf"(?:[ \t]{{1,3}}dot[ \t]{{1,3}}|[ \t]{{0,3}}[\[({{][ \t]{{0,3}}dot[ \t]{{0,3}}[\])}}][ \t]{{0,3}})$", re.I)
 _LOCAL_WORD = re.compile(r"[A-Za-z0-9_%+-]{1,64}$")
 
@@ -144,6 +150,18 @@ def _fold_words(text: str) -> list[tuple[int, int, str]]:
                 new = _DIGIT.get(word, " " if part.start() else "")
             if new != part.group():
                 edits.append((run.start() + part.start(), run.start() + part.end(), new))
+    for run in _DOTTED.finditer(text):
+        for part in _DOTTED_PART.finditer(run.group()):
+            word = part.group().lower()
+            if word.startswith("plus"):
+                new = "+"
+            elif _DOTS.fullmatch(word):
+                new = "."
+            else:
+                new = _DIGIT.get(word, "")
+            if new != part.group():
+                edits.append((run.start() + part.start(), run.start() + part.end(), new))
+    edits += [(m.start(), m.end(), ".") for m in _DIGIT_DOT.finditer(text) if m.group() != "."]
     for match in _ADDRESS.finditer(text):
         if match["at"] != "@":
             left = match.start()  # dots of the local part that are spelled out
