@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedback_signals.llm import byte_bpe, decontaminate, exact_dedup, near_copies, toxicity
+from feedback_signals.llm import byte_bpe, decontaminate, exact_dedup, simhash, toxicity
 from feedback_signals.session import Stages
 
 
@@ -32,18 +32,31 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return marked.join(kept, ["doc_id", "_sha"], "left_semi").dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """Documents with ``_row``, their id and the digest of their text: a verdict names
+    a text, so that different texts under one id are judged apart."""
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return docs.withColumn("_row", F.struct(F.col("doc_id"), digest.alias("digest")))
+
+
+def _without(docs: DataFrame, named: DataFrame, dropped: DataFrame) -> DataFrame:
+    return named.join(dropped, "_row", "left_anti").select(*docs.columns)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component of near copies: SimHash
-    candidates whose five-word shingles have a Jaccard similarity of 0.8 or more."""
-    dropped = near_copies.near_copies(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """The row with the smallest doc_id of each component of near copies, linked by the
+    near-duplicate operator at three-word shingles and three of 64 bits."""
+    named = _named(docs)
+    found = simhash.near_duplicates(named, doc_id="_row")
+    return _without(docs, named, found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_row")).distinct())
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no passage with the benchmark."""
+    named = _named(docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    dropped = decontaminate.contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    found = decontaminate.contaminated(named, benchmark, doc_id="_row")
+    return _without(docs, named, found.select(F.col("doc_id").alias("_row")).distinct())
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
