@@ -6,10 +6,12 @@ consecutive nodes become one node of the next level (the last run may be shorter
 until one is left, the subroot.  Subroots, ordered by source, are the lowest level
 of the tree above, which ends in the root.
 
-The manifest is a table of nodes, one row per node with the id of its parent and
-the hashes of the rest of its run, left and right of it.  ``climb`` starts one row
-per leaf, with any hash in its place, and a recursive query joins it with the node it
-stands at: each step appends that node's siblings and folds the hash with them.
+The manifest is a table of nodes, one row per node with the id of its parent and its
+siblings, the hashes of the rest of its run left and right of it.  A node on every
+``STRIDE``-th level also carries those of the nodes above it, up to the next such level
+or the top of its tree (``up``, ``path``).  ``climb`` starts one row per leaf, with any
+hash in its place, and a recursive query joins it with the node it stands at: each
+step appends the path's siblings, folds the hash with them and moves up.
 
 A node's id is the position of its first leaf in the whole order and its level, so
 ids need no lookup.  Levels are built in blocks of ``ARITY ** BLOCK`` nodes: the
@@ -34,14 +36,15 @@ from .ordering import positions
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 ARITY = 3
-#: Levels that are built in one group.
+#: Levels that are built in one group, and that a climb passes in one step.
 BLOCK = 6
+STRIDE = 3
 #: Ids leave so much room for the level, the upper half for the tree over the sources.
 _LEVELS, _ABOVE = 128, 64
 
 
 class Manifest(NamedTuple):
-    """``nodes``: node, parent (null for the root), level, before, after.
+    """``nodes``: node, parent, level, jump (on every third level), up, path.
     ``trees``: tree, subroot.  ``root``: hex, null without rows.
     ``leaves``: place, node, tree, the columns given, leaf."""
 
@@ -68,17 +71,31 @@ def _run(nodes: Column, first: Column, n) -> Column:
     return F.array_join(F.slice(nodes, first, n), "")
 
 
-def _siblings(nodes: Column, base: int, level: int) -> Column:
-    """Nodes of one level of a block with the hashes beside them in their runs."""
+def _beside(nodes: Column, i: Column) -> Column:
+    """The hashes left and right of a node in its run."""
+    start = i - i % ARITY
+    return F.struct(
+        F.unhex(_run(nodes, start + 1, i - start)).alias("before"),
+        F.unhex(_run(nodes, i + 2, start + ARITY - 1 - i)).alias("after"),
+    )
+
+
+def _linked(level: int, base: int) -> Column:
+    """Nodes of one level of a block, each with its path to where it leads."""
+    jump = (base + level) % STRIDE == 0
+    steps = range(STRIDE if jump else 1)
+    top = F.least(F.lit(level + len(steps)), F.col("depth"))
+
     def one(_, i):
-        start = i - i % ARITY
+        path = F.array(*[
+            F.when(F.col("depth") > level + k, _beside(F.col(f"l{level + k}"), F.floor(i / ARITY ** k).cast("int"))) for k in steps
+        ])
         return F.struct(
-            F.lit(base + level).alias("level"), i.alias("at"),
-            F.unhex(_run(nodes, start + 1, i - start)).alias("before"),
-            F.unhex(_run(nodes, i + 2, start + ARITY - 1 - i)).alias("after"),
+            F.lit(base + level).alias("level"), i.alias("at"), F.lit(jump).alias("jump"),
+            (top + base).alias("top"), F.array_compact(path).alias("path"),
         )
 
-    return F.transform(nodes, one)
+    return F.transform(f"l{level}", one)
 
 
 def _depth(size: Column) -> Column:
@@ -87,9 +104,12 @@ def _depth(size: Column) -> Column:
     return F.size(F.filter(powers, lambda p: p < size)) + F.when(size > 1, 1).otherwise(0)
 
 
+_LINKED = "array<struct<level:int,at:int,jump:boolean,top:int,path:array<struct<before:binary,after:binary>>>>"
+
+
 def _build(stages: Stages, nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """From ``tree, size, at, hash`` of the lowest level: tables ``tree, level, at,
-    before, after`` of all nodes below the tops, and the tops ``tree, size, hash``."""
+    jump, top, path`` of all nodes below the tops, and the tops ``tree, size, hash``."""
     below, tops, base = [], None, 0
     while True:
         depth = F.greatest(F.least(_depth(F.col("size")) - base, F.lit(BLOCK)), F.lit(0))
@@ -103,14 +123,14 @@ def _build(stages: Stages, nodes: DataFrame) -> tuple[list[DataFrame], DataFrame
                 F.col("depth") >= d, F.transform(runs, lambda r: F.sha2(_run(last, r * ARITY + 1, ARITY), 256))
             ))
         blocks = stages.write(blocks)
-        none = F.expr("array()").cast("array<struct<level:int,at:int,before:binary,after:binary>>")
-        found = blocks.select("tree", "block", F.explode(F.flatten(F.array(*[
-            F.when(F.col("depth") > d, _siblings(F.col(f"l{d}"), base, d)).otherwise(none) for d in range(BLOCK)
-        ]))).alias("n")).select(
+        none = F.expr("array()").cast(_LINKED)
+        found = blocks.withColumn("nodes", F.flatten(F.array(*[
+            F.when(F.col("depth") > d, _linked(d, base)).otherwise(none) for d in range(BLOCK)
+        ]))).select("tree", "block", F.explode_outer("nodes").alias("n")).filter(F.col("n").isNotNull()).select(
             "tree", "n.level",
             # a level has the block's nodes divided by the arity as often as it is above the base
             (F.col("block") * F.expr(f"cast(power({ARITY}, {BLOCK + base} - n.level) as long)") + F.col("n.at")).alias("at"),
-            "n.before", "n.after",
+            "n.jump", "n.top", "n.path",
         )
         below.append(found)
         top = F.coalesce(*[F.when(F.col("depth") == d, F.col(f"l{d}")[0]) for d in range(BLOCK + 1)])
@@ -125,15 +145,16 @@ def _build(stages: Stages, nodes: DataFrame) -> tuple[list[DataFrame], DataFrame
 
 
 def _named(nodes: DataFrame, above: bool) -> DataFrame:
-    """Nodes with their ids and those of their parents."""
+    """Nodes with their ids, those of their parents and of where their paths lead."""
     shift = _ABOVE if above else 0
 
-    def name(at, level):
+    def name(level):  # of the node's ancestor on that level
+        at = F.expr(f"at div cast(power({ARITY}, {level} - level) as long)")
         return (F.col("tree") + at * F.expr(f"cast(power({ARITY}, {level}) as long)")) * _LEVELS + F.expr(level) + shift
 
     return nodes.select(
-        name(F.col("at"), "level").alias("node"), name(F.expr(f"at div {ARITY}"), "level + 1").alias("parent"),
-        (F.col("level") + shift).alias("level"), "at", "before", "after",
+        name("level").alias("node"), name("level + 1").alias("parent"), (F.col("level") + shift).alias("level"), "at",
+        "jump", name("top").alias("up"), "path",
     )
 
 
@@ -172,21 +193,26 @@ def build(stages: Stages, docs: DataFrame, keep: list[str], source: str = "sourc
 
 def climb(nodes: DataFrame, starts: DataFrame) -> DataFrame:
     """``leaf, step, folded, siblings`` of every step from the rows of ``starts``
-    (leaf, node, folded): step 0 has the hash it starts with, and the last step the
-    root that it leads to."""
+    (leaf, node, folded): step 0 has the hash it starts with, the last step the root
+    that it leads to.  Only the first step reads the lowest level, which has most of
+    the nodes."""
+    fold = """aggregate({path}, {c}.folded, (hash, run) ->
+                unhex(sha2(concat(lower(hex(run.before)), lower(hex(hash)), lower(hex(run.after))), 256)))"""
+    append = "aggregate({path}, CAST('' AS BINARY), (all, run) -> concat(all, run.before, run.after))"
+    none = "coalesce(n.path, array())"  # a sole leaf is a subroot, which is no node of the lowest level
+    jumps = nodes.filter("jump").select("level", "node", "up", "path")
     return nodes.sparkSession.sql(
         f"""
         WITH RECURSIVE climb(leaf, node, folded, step, siblings) MAX RECURSION LEVEL {_LEVELS} AS (
-          SELECT leaf, node, folded, 0, CAST('' AS BINARY) FROM {{starts}}
+          SELECT s.leaf, coalesce(n.up, s.node), {fold.format(path=none, c="s")}, 1, {append.format(path=none)}
+          FROM {{starts}} s LEFT JOIN {{lowest}} n ON s.node = n.node
           UNION ALL
-          SELECT c.leaf, n.parent,
-                 unhex(sha2(concat(lower(hex(n.before)), lower(hex(c.folded)), lower(hex(n.after))), 256)),
-                 c.step + 1, concat(n.before, n.after)
-          FROM climb c JOIN {{nodes}} n ON c.node = n.node
+          SELECT c.leaf, n.up, {fold.format(path="n.path", c="c")}, c.step + 1, {append.format(path="n.path")}
+          FROM climb c JOIN {{upper}} n ON c.node = n.node
         )
         SELECT leaf, step, folded, siblings FROM climb LIMIT ALL
         """,
-        starts=starts, nodes=nodes,
+        starts=starts, lowest=jumps.filter("level = 0"), upper=jumps.filter("level > 0"),
     )
 
 
@@ -202,18 +228,14 @@ def audit(docs: DataFrame, received: Column) -> DataFrame:
     start = F.when(received.eqNullSafe(F.col("text")), F.lit(None)).otherwise(F.unhex(changed))
     hashed = stages.write(docs.select("doc_id", "source", start.alias("start"), F.unhex(own).alias("leaf")))
     manifest = build(stages, hashed, ["start"])
+    stages.close()
     leaves = manifest.leaves
-    steps = stages.write(climb(
-        manifest.nodes.filter(F.col("parent").isNotNull()).select("node", "parent", "before", "after"),
-        leaves.select(F.col("place").alias("leaf"), "node", F.coalesce("start", "leaf").alias("folded")),
-    ))
+    steps = climb(manifest.nodes, leaves.select(F.col("place").alias("leaf"), "node", F.coalesce("start", "leaf").alias("folded")))
     climbed = steps.groupBy(F.col("leaf").alias("place")).agg(
         F.array_sort(F.collect_list(F.struct("step", "siblings"))).alias("siblings"), F.max_by("folded", "step").alias("folded")
     )
-    result = stages.write(leaves.join(climbed, "place").join(manifest.trees, "tree").select(
+    return leaves.join(climbed, "place").join(manifest.trees, "tree").select(
         "doc_id", _hex(F.col("leaf")).alias("leaf"), "subroot", F.lit(manifest.root).alias("root"),
         F.aggregate("siblings", F.lit("").cast("binary"), lambda all_, s: F.concat(all_, s["siblings"])).alias("proof"),
         _hex(F.col("folded")).alias("folded_root"),
-    ).withColumn("verified", F.col("folded_root") == F.col("root")), keep=True)
-    stages.close()
-    return result
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
