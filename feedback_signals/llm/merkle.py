@@ -38,17 +38,18 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 ARITY = 3
 #: Levels that are built in one group, and that a climb passes in one step.
 BLOCK = 6
-STRIDE = 3
+STRIDE = BLOCK
 #: Ids leave so much room for the level, the upper half for the tree over the sources.
 _LEVELS, _ABOVE = 128, 64
 
 
 class Manifest(NamedTuple):
-    """``nodes``: node, parent, level, jump (on every third level), up, path.
+    """``lowest`` and ``upper``: the nodes of level 0 and of the others, as node, parent, level, jump (on every ``STRIDE``-th level), up, path.
     ``trees``: tree, subroot.  ``root``: hex, null without rows.
     ``leaves``: place, node, tree, the columns given, leaf."""
 
-    nodes: DataFrame
+    lowest: DataFrame
+    upper: DataFrame
     trees: DataFrame
     root: str | None
     leaves: DataFrame
@@ -107,11 +108,12 @@ def _depth(size: Column) -> Column:
 _LINKED = "array<struct<level:int,at:int,jump:boolean,top:int,path:array<struct<before:binary,after:binary>>>>"
 
 
-def _build(stages: Stages, nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+def _build(stages: Stages, nodes: DataFrame, most: int) -> tuple[list[DataFrame], DataFrame]:
     """From ``tree, size, at, hash`` of the lowest level: tables ``tree, level, at,
-    jump, top, path`` of all nodes below the tops, and the tops ``tree, size, hash``."""
+    jump, top, path`` of all nodes below the tops, and the tops ``tree, size, hash``.
+    No tree has more than ``most`` leaves."""
     below, tops, base = [], None, 0
-    while True:
+    while tops is None or ARITY ** base < most:
         depth = F.greatest(F.least(_depth(F.col("size")) - base, F.lit(BLOCK)), F.lit(0))
         blocks = nodes.groupBy("tree", "size", F.expr(f"at div {ARITY ** BLOCK}").alias("block")).agg(
             F.array_sort(F.collect_list(F.struct("at", "hash"))).alias("held")
@@ -138,10 +140,9 @@ def _build(stages: Stages, nodes: DataFrame) -> tuple[list[DataFrame], DataFrame
         done = _depth(F.col("size")) <= base + BLOCK
         finished = ends.filter(done).select("tree", "size", "hash")
         tops = finished if tops is None else tops.unionByName(finished)
-        nodes = stages.write(ends.filter(~done))
+        nodes = ends.filter(~done)
         base += BLOCK
-        if nodes.isEmpty():
-            return below, tops
+    return below, tops
 
 
 def _named(nodes: DataFrame, above: bool) -> DataFrame:
@@ -169,39 +170,44 @@ def build(stages: Stages, docs: DataFrame, keep: list[str], source: str = "sourc
         by_place.join(trees, F.col(source).eqNullSafe(F.col("_source")))
         .select("place", (F.col("place") * _LEVELS).alias("node"), "tree", "size", doc_id, *keep, "leaf"), keep=True
     )
-    below, tops = _build(stages, leaves.select("tree", "size", (F.col("place") - F.col("tree")).alias("at"), F.col("leaf").alias("hash")))
+    most = trees.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
+    below, tops = _build(
+        stages, leaves.select("tree", "size", (F.col("place") - F.col("tree")).alias("at"), F.col("leaf").alias("hash")), most
+    )
     subroots = positions(stages, tops, [], ["tree"], "at")
     count = subroots.count()
-    above, root = _build(stages, subroots.select(F.lit(0).cast("long").alias("tree"), F.lit(count).cast("long").alias("size"), "at", "hash"))
-    rows = None
-    for table in above:
-        named = _named(table, above=True)
-        rows = named if rows is None else rows.unionByName(named)
-    # the lowest level of the upper tree are the subroots, which have ids already
+    above, root = _build(
+        stages, subroots.select(F.lit(0).cast("long").alias("tree"), F.lit(count).cast("long").alias("size"), "at", "hash"), count
+    )
+    # the lowest level of the tree over the sources are the subroots, which have ids already
     own = subroots.select("at", (F.col("tree") * _LEVELS + _depth(F.col("size"))).alias("own"))
-    lowest = rows.filter(F.col("level") == _ABOVE).join(own, "at").withColumn("node", F.col("own")).drop("own")
-    rows = rows.filter(F.col("level") > _ABOVE).unionByName(lowest)
-    for table in below:
-        rows = rows.unionByName(_named(table, above=False))
+    first = _named(above[0], above=True)
+    upper = first.filter(F.col("level") == _ABOVE).join(own, "at").withColumn("node", F.col("own")).drop("own")
+    upper = upper.unionByName(first.filter(F.col("level") > _ABOVE))
+    for table in above[1:]:
+        upper = upper.unionByName(_named(table, above=True))
+    lower = _named(below[0], above=False)
+    upper = upper.unionByName(lower.filter("level > 0"))
+    for table in below[1:]:
+        upper = upper.unionByName(_named(table, above=False))
     last = root.first()
-    nodes = stages.write(rows.drop("at"), keep=True)
     return Manifest(
-        nodes, stages.write(subroots.select("tree", _hex(F.col("hash")).alias("subroot")), keep=True),
+        stages.write(lower.filter("level = 0").drop("at"), keep=True), stages.write(upper.drop("at"), keep=True),
+        stages.write(subroots.select("tree", _hex(F.col("hash")).alias("subroot")), keep=True),
         last["hash"].hex() if last else None, leaves,
     )
 
 
-def climb(nodes: DataFrame, starts: DataFrame) -> DataFrame:
+def climb(lowest: DataFrame, jumps: DataFrame, starts: DataFrame) -> DataFrame:
     """``leaf, step, folded, siblings`` of every step from the rows of ``starts``
     (leaf, node, folded): step 0 has the hash it starts with, the last step the root
-    that it leads to.  Only the first step reads the lowest level, which has most of
-    the nodes."""
+    that it leads to.  Only the first step reads the ``lowest`` level, which has most of
+    the nodes; ``jumps`` are the upper nodes that a climb can stand at."""
     fold = """aggregate({path}, {c}.folded, (hash, run) ->
                 unhex(sha2(concat(lower(hex(run.before)), lower(hex(hash)), lower(hex(run.after))), 256)))"""
     append = "aggregate({path}, CAST('' AS BINARY), (all, run) -> concat(all, run.before, run.after))"
     none = "coalesce(n.path, array())"  # a sole leaf is a subroot, which is no node of the lowest level
-    jumps = nodes.filter("jump").select("level", "node", "up", "path")
-    return nodes.sparkSession.sql(
+    return lowest.sparkSession.sql(
         f"""
         WITH RECURSIVE climb(leaf, node, folded, step, siblings) MAX RECURSION LEVEL {_LEVELS} AS (
           SELECT s.leaf, coalesce(n.up, s.node), {fold.format(path=none, c="s")}, 1, {append.format(path=none)}
@@ -212,7 +218,7 @@ def climb(nodes: DataFrame, starts: DataFrame) -> DataFrame:
         )
         SELECT leaf, step, folded, siblings FROM climb LIMIT ALL
         """,
-        starts=starts, lowest=jumps.filter("level = 0"), upper=jumps.filter("level > 0"),
+        starts=starts, lowest=lowest.select("node", "up", "path"), upper=jumps.select("node", "up", "path"),
     )
 
 
@@ -228,9 +234,10 @@ def audit(docs: DataFrame, received: Column) -> DataFrame:
     start = F.when(received.eqNullSafe(F.col("text")), F.lit(None)).otherwise(F.unhex(changed))
     hashed = stages.write(docs.select("doc_id", "source", start.alias("start"), F.unhex(own).alias("leaf")))
     manifest = build(stages, hashed, ["start"])
+    jumps = stages.write(manifest.upper.filter("jump"), keep=True)  # so few that Spark sees their size
     stages.close()
     leaves = manifest.leaves
-    steps = climb(manifest.nodes, leaves.select(F.col("place").alias("leaf"), "node", F.coalesce("start", "leaf").alias("folded")))
+    steps = climb(manifest.lowest, jumps, leaves.select(F.col("place").alias("leaf"), "node", F.coalesce("start", "leaf").alias("folded")))
     climbed = steps.groupBy(F.col("leaf").alias("place")).agg(
         F.array_sort(F.collect_list(F.struct("step", "siblings"))).alias("siblings"), F.max_by("folded", "step").alias("folded")
     )

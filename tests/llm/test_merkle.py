@@ -93,8 +93,9 @@ def test_manifest_links_every_node_to_the_root(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     own = merkle.leaf([F.col(f) for f in merkle.FIELDS])
     manifest = merkle.build(Stages(spark), docs.select("doc_id", "source", F.unhex(own).alias("leaf")), [])
-    nodes = {r["node"]: r["parent"] for r in manifest.nodes.collect()}
-    assert len(nodes) == manifest.nodes.count()
+    rows = manifest.lowest.unionByName(manifest.upper).collect()
+    nodes = {r["node"]: r["parent"] for r in rows}
+    assert len(nodes) == len(rows) and len({r["node"] for r in rows if r["level"] == 0}) == docs.count()
     roots = {parent for parent in nodes.values() if parent not in nodes}
     assert len(roots) == 1
     assert {r["node"] for r in manifest.leaves.collect()} <= set(nodes)
