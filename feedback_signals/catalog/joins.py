@@ -8,7 +8,7 @@ from .. import config as C
 from ..operators import caches, evaluation as E, labelling, neighbors, zero_shot as Z
 from ..plans import training as TR
 from . import frames as T
-from .registry import query
+from .registry import ORACLES, query
 
 # The first half of the label vocabulary of the turns is "known".
 _CACHE = """cache AS (SELECT sha256(text) AS h, min(role) AS label FROM conversations GROUP BY text)"""
@@ -146,6 +146,19 @@ def eps_neighbors(spark, sf):
     return neighbors.eps_neighbors(points(spark, sf), EPS).select("row_id", "neighbors")
 
 
+@query("eps_neighbors_small_cells", ORACLES["eps_neighbors"])
+def eps_neighbors_small_cells(spark, sf):
+    return neighbors.eps_neighbors(points(spark, sf), EPS, block_rows=128).select("row_id", "neighbors")
+
+
+@query("nearest_neighbor_by_cells", f"""
+WITH {POINTS}, r AS (SELECT * FROM p WHERE row_id % 2 = 0)
+SELECT p.row_id, first(r.row_id ORDER BY list_distance(p.v, r.v), r.row_id) AS nearest_id FROM p, r GROUP BY p.row_id""")
+def nearest_neighbor_by_cells(spark, sf):
+    refs = points(spark, sf).filter("row_id % 2 = 0").select(F.col("row_id").alias("ref_id"), "embedding")
+    return neighbors.nearest_neighbor(points(spark, sf), refs, max_refs=0, cell_rows=64).select("row_id", "nearest_id")
+
+
 @query("combine_training", """
 WITH h AS (SELECT doc_id AS row_id, ('0x' || substr(md5('42:' || doc_id), 1, 8))::BIGINT / 4294967296 < 0.2 AS is_test FROM documents)
 SELECT 'train' AS side, conv_id * 1000 + turn AS row_id, role AS tags, NULL AS dimension FROM conversations

@@ -14,7 +14,7 @@ from ..sources import loaders
 from ..streaming import rate_cap as RC, score_stream as SS
 from . import frames as T
 from .joins import EPS, POINTS, points
-from .registry import query
+from .registry import ORACLES, query
 
 SETTINGS = C.Settings(trees=100)
 OPTIONS = PL.Options(lexicon=T.LEXICON, settings=SETTINGS)
@@ -127,6 +127,11 @@ def dbscan(spark, sf):
     return D.dbscan(points(spark, sf), EPS).select("row_id", "cluster_id")
 
 
+@query("dbscan_small_cells", ORACLES["dbscan"])
+def dbscan_small_cells(spark, sf):
+    return D.dbscan(points(spark, sf), EPS, block_rows=128).select("row_id", "cluster_id")
+
+
 # Two hundred sampled points leave fewer neighbours, so the radius is wider.
 SAMPLE, SAMPLE_EPS = 200, 1.24
 

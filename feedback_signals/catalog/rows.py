@@ -241,8 +241,7 @@ def _signal_sql(words) -> str:
 
 
 @query("detect_feedback_mode", f"""
-WITH {T.FB}, f AS (SELECT * FROM fb WHERE text IS NOT NULL ORDER BY row_id LIMIT 300),
-j AS (SELECT lower(string_agg(text, ' ' ORDER BY row_id)) AS t FROM f),
+WITH {T.FB}, j AS (SELECT lower(string_agg(text, ' ' ORDER BY row_id)) AS t FROM fb),
 s AS (SELECT {_signal_sql(T.PEER_WORDS)} AS peer_score, {_signal_sql(T.PROFESSOR_WORDS)} AS professor_score FROM j)
 SELECT peer_score, professor_score, CASE WHEN peer_score >= professor_score THEN 'student_to_student'
   ELSE 'student_to_professor' END AS feedback_mode FROM s""")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import config as C
@@ -55,29 +56,74 @@ def anonymize(
     return found.withColumn(col, F.when(blank, F.col(col)).otherwise(masked)).drop("_spans")
 
 
+_EDGES = "first_row long, head string, tail string, full boolean, found array<string>"
+
+
+def _spanning(phrases: Sequence[str], reach: int):
+    """Folds the edges of texts in order: which phrases run over from one text to the
+    next, and the outer edges of the whole run."""
+    def extended(carry: str | None, text: str) -> str:
+        return text if carry is None else f"{carry} {text}"
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, head, carry, full, found = None, None, None, False, set()
+        for batch in batches:
+            for row, start, end, short in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                first = row if first is None else first
+                if carry is not None:
+                    seam = extended(carry, start)
+                    found.update(p for p in phrases if p in seam)
+                if not full:
+                    head = extended(head, start)
+                    full = not short or len(head) >= reach
+                carry = extended(carry, end)[-reach:] if short else end
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([
+                pa.array([first], pa.int64()), pa.array([head[:reach]]), pa.array([carry]), pa.array([full]),
+                pa.array([sorted(found)], pa.list_(pa.string())),
+            ], ["first_row", "head", "tail", "full", "found"])
+
+    return fold
+
+
+def _phrases_across_texts(texts: DataFrame, phrases: Sequence[str], row_id: str) -> set[str]:
+    """Phrases that occur only where one text (column ``t``) follows another.  Only the
+    texts' edges are ordered, and one row per range of ids reaches the driver."""
+    phrases = [p for p in phrases if " " in p]
+    if not phrases:
+        return set()
+    reach = max(map(len, phrases))
+    edges = texts.select(
+        F.col(row_id).cast("long").alias("row"), F.left("t", F.lit(reach)).alias("start"), F.right("t", F.lit(reach)).alias("end"),
+        (F.length("t") < reach).alias("short"),
+    ).repartitionByRange("row").sortWithinPartitions("row")
+    found, carry = set(), None
+    for run in sorted(edges.mapInArrow(_spanning(phrases, reach), _EDGES).collect(), key=lambda r: r["first_row"]):
+        found.update(run["found"])
+        if carry is not None:
+            found.update(p for p in phrases if p in f"{carry} {run['head']}")
+        carry = run["tail"] if run["full"] or carry is None else f"{carry} {run['tail']}"[-reach:]
+    return found
+
+
 def detect_feedback_mode(
     df: DataFrame,
-    n: int = 300,
     peer: Sequence[str] = C.PEER_SIGNALS,
     professor: Sequence[str] = C.PROFESSOR_SIGNALS,
     row_id: str = "row_id",
 ) -> DataFrame:
-    """One row: which vocabulary the first ``n`` texts use.  Ties and an empty
+    """One row: which vocabulary the texts of the whole table use.  Ties and an empty
     table count as peer feedback.
 
-    The texts are joined in order, since a phrase may span two of them; ``n`` is
-    the reach of the rule itself and bounds what is joined.
+    The texts count as joined by blanks in the order of ``row_id``, so a phrase may span
+    several of them.  Phrases inside a text are one map-side combined aggregate.
     """
-    first = df.filter(F.col("text").isNotNull()).select(row_id, "text").orderBy(row_id).limit(n)
-    texts = F.transform(
-        F.array_sort(F.collect_list(F.struct(F.col(row_id).alias("k"), F.col("text").alias("v")))),
-        lambda s: s["v"],
-    )
-    joined = first.agg(F.lower(F.array_join(texts, " ")).alias("t"))
-    scored = joined.select(
-        X.phrases_present(F.col("t"), peer).alias("peer_score"),
-        X.phrases_present(F.col("t"), professor).alias("professor_score"),
+    texts = df.filter(F.col("text").isNotNull()).select(row_id, F.lower("text").alias("t"))
+    across = _phrases_across_texts(texts, [*peer, *professor], row_id)
+    score = lambda phrases: X.total(
+        F.coalesce(F.bool_or(F.col("t").contains(p) | F.lit(p in across)), F.lit(False)).cast("int") for p in phrases
     )
+    scored = texts.agg(score(peer).alias("peer_score"), score(professor).alias("professor_score"))
     is_peer = F.col("peer_score") >= F.col("professor_score")
     return scored.withColumn("feedback_mode", F.when(is_peer, C.S2S).otherwise(C.S2P))
 

@@ -1,3 +1,5 @@
+import random
+
 import re
 
 import pytest
@@ -154,8 +156,21 @@ def test_mode(spark):
     assert R.feedback_mode_of(texts(spark, "professor", "teammate")) == C.S2S
     assert R.feedback_mode_of(texts(spark)) == C.S2S
     late = texts(spark, *["nothing"] * 300, "professor exam lecture")
-    assert R.feedback_mode_of(late.repartition(7)) == C.S2S
-    assert R.feedback_mode_of(texts(spark, "team", "member").limit(2)) == C.S2S
+    assert R.feedback_mode_of(late.repartition(7)) == C.S2P
+    assert R.feedback_mode_of(texts(spark, "exam", "my Team", "member was late").repartition(3)) == C.S2S
+
+
+def test_mode_phrases_may_span_texts(spark):
+    """Every phrase, also over several short texts, as in one joined string."""
+    draw = random.Random(5)
+    phrases = ["a b c d", "b b", "cc a", "long phrase here", "d", "a  b", "zz"]
+    for n in (1, 2, 40, 400):
+        rows = [draw.choice(["a", "b", "c", "d", "", "cc", "b a", "x long", "phrase", "here a", "a" * 40 + " b"]) for _ in range(n)]
+        joined = " ".join(rows)
+        for width in (1, 5):
+            found = R.detect_feedback_mode(texts(spark, *rows).repartition(width), peer=phrases, professor=["b c", "none"]).first()
+            assert found.peer_score == sum(p in joined for p in phrases)
+            assert found.professor_score == ("b c" in joined)
 
 
 def test_derive_labels(spark):

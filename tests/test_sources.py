@@ -138,6 +138,9 @@ def test_detection_rules(spark):
     assert P.detect_text_columns(only_ids, training=True) == ["user_id"]
     short = prof(spark, [("ab", "cd", 1)], "uuid string, memo string, n long")
     assert P.detect_text_columns(short) == ["memo"]
+    many = [f"answer_{i}" for i in range(13)]
+    wide = prof(spark, [tuple(f"a long enough answer {i}" for i in range(13))], ", ".join(f"{c} string" for c in many))
+    assert sorted(P.detect_text_columns(wide)) == sorted(many) and len(P.detect_text_columns(wide, max_cols=12)) == 12
 
 
 def test_pairs(spark):
@@ -147,6 +150,15 @@ def test_pairs(spark):
     assert P.detect_rating_text_pairs(one) == []
 
 
+def test_two_ratings_that_want_one_text():
+    rating = lambda name: P.ColumnProfile(name, False, 5, 1.0, -1.0, 1.0, True, False, False, True)
+    text = lambda name: P.ColumnProfile(name, True, 5, 20.0, None, None, False, False, False, False)
+    table = [rating("lab"), rating(" Lab"), text(" lab"), text("Lab"), rating("x"), text("x.1"), text("x_text")]
+    assert P.detect_rating_text_pairs(table) == [("lab", "Lab", "lab"), ("x", "x.1", "x")]
+    shared = [rating("a"), rating("A"), text("a_text"), text("A"), text("A_text")]  # "A" is a rating and a text
+    assert [r[:2] for r in P.detect_rating_text_pairs(shared)] == [("a", "A"), ("A", "A_text")]
+
+
 def test_lexicon_file(spark, tmp_path):
     path = write(tmp_path / "lex.csv", [["B", "second, one"], ["A", "first"], ["B", "third"]], ["category", "phrase"])
     assert list(files.read_lexicon(spark, path).items()) == [("B", ["second, one", "third"]), ("A", ["first"])]
