@@ -267,12 +267,32 @@ def prepare_course_training(spark, sf):
     return both.groupBy("side", "sentiment").agg(F.count("*").alias("n"))
 
 
-@query("rate_cap")
+# One step per event of a key: the state is the list of accepted times of the last day.
+_RATE_CAP = """
+WITH RECURSIVE e AS (
+  SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS i FROM events
+), s AS (
+  SELECT user_id, i, event_id, [t] AS held, true AS accepted FROM e WHERE i = 1 AND user_id IS NOT NULL
+  UNION ALL
+  SELECT user_id, i, event_id, CASE WHEN len(kept) < 3 THEN list_append(kept, t) ELSE kept END, len(kept) < 3
+  FROM (SELECT e.user_id, e.i, e.event_id, e.t, list_filter(s.held, lambda x: e.t - x < 86400000000) AS kept
+        FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)
+)
+SELECT e.event_id, s.accepted FROM e LEFT JOIN s USING (event_id)"""
+
+
+@query("rate_cap", _RATE_CAP)
 def rate_cap(spark, sf):
     events = T.table(spark, sf, "events").select("event_id", F.col("user_id").alias("key"), "ts")
     return RC.rate_cap(events, n=3, seconds=24 * 3600).select("event_id", "accepted")
 
 
+@query("rate_cap_small_slices", _RATE_CAP)
+def rate_cap_small_slices(spark, sf):
+    events = T.table(spark, sf, "events").select("event_id", F.col("user_id").alias("key"), "ts")
+    return RC.rate_cap(events, n=3, seconds=24 * 3600, slice_events=8).select("event_id", "accepted")
+
+
 @query("score_stream", f"""
 WITH {_cosine_sql(C.PROFESSOR_CANDIDATES)}
 SELECT best.label, count(*) AS count FROM best JOIN documents USING (doc_id) WHERE length(text) > 5 GROUP BY best.label""")

@@ -9,10 +9,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.lookup import salted_join
+from ..session import materialize
+
+SLICE_EVENTS = 100_000
 
 
 def accept(times: np.ndarray, accepted: deque, n: int, window: int) -> np.ndarray:
@@ -41,51 +45,85 @@ def _micros(ts: str):
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
+def _folds(n: int, window: int):
+    """The fold over a slice's times from a start state, as two column functions: the
+    state it ends in (accepted times that still count after it), and its verdicts."""
+    def folded(times: pa.Array, starts: pa.Array):
+        flat, cuts = times.flatten().to_numpy(), times.offsets.to_numpy()
+        for i, start in enumerate(starts.to_pylist()):
+            slice_ = flat[cuts[i] - cuts[0]:cuts[i + 1] - cuts[0]]
+            accepted = deque(start)
+            yield slice_, accepted, accept(slice_, accepted, n, window)
+
+    def end(times: pa.Array, starts: pa.Array) -> pa.Array:
+        states = [[int(t) for t in held if t > slice_[-1] - window] for slice_, held, _ in folded(times, starts)]
+        return pa.array(states, pa.list_(pa.int64()))
+
+    def verdicts(times: pa.Array, starts: pa.Array) -> pa.Array:
+        return pa.array([v for _, _, v in folded(times, starts)], pa.list_(pa.bool_()))
+
+    return F.arrow_udf(end, "array<long>"), F.arrow_udf(verdicts, "array<boolean>")
+
+
+def _chained(slices: DataFrame, end, at: list[str]) -> DataFrame:
+    """``at, start``: the true start state of every slice.
+
+    All slices are folded at once from a speculated state, the empty one.  Then a slice
+    whose start differs from the state that its predecessor ended in is folded again,
+    until none does; by induction along the slices every state is then the true one.
+    Two folds over the same events soon agree whatever they start from, so few rounds
+    are needed; each makes at least one more slice of a run final.
+    """
+    empty = F.expr("array()").cast("array<long>")
+    states = materialize(slices.select(*at, empty.alias("start"), end("times", empty).alias("end")))
+    before = F.lag("end").over(Window.partitionBy(*at[:-1]).orderBy(at[-1]))
+    while True:
+        told = materialize(states.select(*at, "start", "end", F.coalesce(before, empty).alias("told")))
+        stale = told.filter(F.col("told") != F.col("start")).select(*at, F.col("told").alias("start"))
+        if stale.isEmpty():
+            return told.select(*at, "start")
+        again = slices.join(stale, at).select(*at, "start", end("times", "start").alias("end"))
+        states = materialize(told.filter(F.col("told") == F.col("start")).select(*at, "start", "end").unionByName(again))
+
+
 def rate_cap(
-    events: DataFrame, key: str = "key", ts: str = "ts", n: int = 5, seconds: float = 60, event_id: str = "event_id"
+    events: DataFrame, key: str = "key", ts: str = "ts", n: int = 5, seconds: float = 60, event_id: str = "event_id",
+    slice_events: int = SLICE_EVENTS,
 ) -> DataFrame:
-    """``events`` plus ``accepted``, which is null where the key is.
-
-    A pause of a whole window resets a key, so its events fall into independent
-    runs.  The runs are found on counts per (key, window-long slot), not on the
-    events.  Runs of at most ``n`` events are accepted as they stand; the others
-    are streamed through the fold in time order, with ``n`` times in memory.
+    """``events`` plus ``accepted``, which is null where the key is.  ``event_id`` names
+    an event; events of one time are taken by ascending id.
+
+    A pause of a whole window resets a key, so its events fall into independent runs,
+    found on counts per (key, slot of time).  Runs of at most ``n`` events are accepted
+    as they stand.  The others are cut into slices of about ``slice_events`` (a slot, a
+    16th of a window, is not cut), which are folded in parallel and chained by their
+    end states, so a client that never pauses is many tasks.  Only key, id and time
+    travel; the verdict is joined back.
     """
     window = int(seconds * 1_000_000)
-    timed = events.filter(F.col(key).isNotNull()).withColumn("_t", _micros(ts)).withColumn("_slot", F.floor(F.col("_t") / window))
-    slots = timed.groupBy(key, "_slot").agg(
-        F.min("_t").alias("_from"), F.max("_t").alias("_to"), F.count("*").alias("_n")
-    )
-    in_time = Window.partitionBy(key).orderBy("_slot")
+    timed = events.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(event_id).alias("_id"), _micros(ts).alias("_t"))
+    timed = timed.withColumn("_slot", F.floor(F.col("_t") / max(window // 16, 1)))
+    slots = timed.groupBy("_key", "_slot").agg(F.min("_t").alias("_from"), F.max("_t").alias("_to"), F.count("*").alias("_n"))
+    in_time = Window.partitionBy("_key").orderBy("_slot")
     pause = F.col("_from") - F.lag("_to").over(in_time) >= window
     runs = slots.withColumn("_run", F.sum(F.coalesce(pause, F.lit(True)).cast("int")).over(in_time))
-    size = F.sum("_n").over(Window.partitionBy(key, "_run"))
-    runs = runs.withColumn("_size", size).select(key, "_slot", "_run", "_size")
-    placed = salted_join(timed, runs, [key, "_slot"], "inner")
-    easy = placed.filter(F.col("_size") <= n).withColumn("accepted", F.lit(True))
-    hard = placed.filter(F.col("_size") > n)
-    ordered = hard.repartition(key, "_run").sortWithinPartitions(key, "_run", "_t", event_id)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hard.schema) + ", accepted boolean"
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, accepted = None, deque()
-        for batch in batches:
-            times, keys, runs_ = (batch[c].to_numpy() for c in ("_t", key, "_run"))
-            verdict = np.zeros(len(batch), dtype=bool)
-            turns = np.flatnonzero((keys[1:] != keys[:-1]) | (runs_[1:] != runs_[:-1])) + 1
-            edges = [0, *turns.tolist(), len(batch)]
-            for start, stop in zip(edges, edges[1:]):
-                if start == stop:
-                    continue
-                if (keys[start], runs_[start]) != current:
-                    current, accepted = (keys[start], runs_[start]), deque()
-                verdict[start:stop] = accept(times[start:stop], accepted, n, window)
-            yield batch.assign(accepted=verdict)
-
-    folded = ordered.mapInPandas(fold, schema)
-    keyless = events.filter(F.col(key).isNull()).withColumn("accepted", F.lit(None).cast("boolean"))
-    judged = easy.unionByName(folded).drop("_t", "_slot", "_run", "_size")
-    return judged.unionByName(keyless)
+    whole = Window.partitionBy("_key", "_run")
+    earlier = whole.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_size", F.sum("_n").over(whole)).withColumn(
+        "_slice", F.floor(F.coalesce(F.sum("_n").over(earlier), F.lit(0)) / slice_events)
+    ).select("_key", "_slot", "_run", "_slice", "_size")
+    placed = materialize(salted_join(timed, runs, ["_key", "_slot"], "inner"))
+    easy = placed.filter(F.col("_size") <= n).select("_id", F.lit(True).alias("accepted"))
+    at = ["_key", "_run", "_slice"]
+    slices = materialize(placed.filter(F.col("_size") > n).groupBy(*at).agg(
+        F.array_sort(F.collect_list(F.struct("_t", "_id"))).alias("events")
+    ).select(*at, F.col("events._t").alias("times"), F.col("events._id").alias("ids")))
+    end, verdicts = _folds(n, window)
+    judged = slices.join(_chained(slices, end, at), at).select(
+        F.explode(F.arrays_zip(F.col("ids").alias("id"), verdicts("times", "start").alias("accepted"))).alias("e")
+    ).select(F.col("e.id").alias("_id"), "e.accepted")
+    known = easy.unionByName(judged)
+    return events.join(known, F.col(event_id) == F.col("_id"), "left").drop("_id")
 
 
 def rate_cap_stream(

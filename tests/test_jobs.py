@@ -1,5 +1,6 @@
 """Pipelines, models and streams."""
 
+import random
 from collections import deque
 
 import numpy as np
@@ -163,6 +164,28 @@ def expected_cap(rows, n):
     return want
 
 
+def test_a_client_that_never_pauses_is_many_slices(spark):
+    """One key with most of the events, at several densities; slices start inside its
+    only run, and some speculated states are wrong."""
+    draw = random.Random(8)
+    rows, t = [], 0
+    for i in range(4000):
+        t += draw.choice([0, 1, 1, 2, 7, 30]) * 1_000_000
+        rows.append((i, "busy" if i % 10 else f"other {i % 7}", t))
+    events = spark.createDataFrame(rows, "event_id long, key string, t long").select(
+        "event_id", "key", F.timestamp_micros("t").alias("ts"), F.lit("wide").alias("note")
+    ).repartition(5)
+    want = {}
+    for key in {r[1] for r in rows}:
+        mine = [r for r in rows if r[1] == key]
+        verdict = RC.accept(np.array([r[2] for r in mine]), deque(), 4, 60_000_000)
+        want.update({r[0]: bool(v) for r, v in zip(mine, verdict)})
+    for size in (10 ** 6, 200, 20):
+        out = RC.rate_cap(events, n=4, slice_events=size)
+        assert {r.event_id: r.accepted for r in out.collect()} == want and out.columns == [*events.columns, "accepted"]
+    assert 0 < sum(want.values()) < len(want)
+
+
 @pytest.mark.parametrize("n", [2, 5])
 def test_rate_cap(spark, n):
     rows, events = cap_events(spark)

@@ -154,7 +154,7 @@ def test_two_ratings_that_want_one_text():
     rating = lambda name: P.ColumnProfile(name, False, 5, 1.0, -1.0, 1.0, True, False, False, True)
     text = lambda name: P.ColumnProfile(name, True, 5, 20.0, None, None, False, False, False, False)
     table = [rating("lab"), rating(" Lab"), text(" lab"), text("Lab"), rating("x"), text("x.1"), text("x_text")]
-    assert P.detect_rating_text_pairs(table) == [("lab", "Lab", "lab"), ("x", "x.1", "x")]
+    assert P.detect_rating_text_pairs(table) == [("lab", "Lab", "lab"), (" Lab", " lab", "lab"), ("x", "x.1", "x")]
     shared = [rating("a"), rating("A"), text("a_text"), text("A"), text("A_text")]  # "A" is a rating and a text
     assert [r[:2] for r in P.detect_rating_text_pairs(shared)] == [("a", "A"), ("A", "A_text")]
 
