@@ -17,7 +17,7 @@ from feedback_signals.session import build_session
 
 HEADLINE = (
     # row-wise chain
-    "match_lexicon", "anonymize", "drop_noise", "feedback_subtype", "classify", "priority_score", "detect_mismatch",
+    "match_lexicon", "match_large_lexicon", "anonymize", "drop_noise", "feedback_subtype", "classify", "priority_score", "detect_mismatch",
     # aggregates, entities and joins
     "label_stats", "run_summary", "aggregate_by_entity", "mixed_signals", "category_breakdown",
     "classification_report", "first_label_per_text", "apply_label_cache",

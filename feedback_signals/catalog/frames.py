@@ -198,3 +198,14 @@ WIDE = """wide AS (
 
 CORRECTIONS = """corrections AS (
   SELECT doc_id AS row_id, CASE WHEN doc_id % 3 = 0 THEN 'approved' ELSE 'rejected' END AS decision FROM labels)"""
+
+
+#: 240 phrases by rule, some of which begin alike, in eight categories.
+LARGE_LEXICON = {
+    f"Theme {c}": [f"{a}{b}{d}" for a in ("er", "an", "th", "on", "le", "in") for b in "aeiou"]
+    for c, d in enumerate(("n", "r", "st", " t", " w", "ing", "que", " b"))
+}
+
+
+def categories_sql(text: str, lexicon: dict) -> str:
+    return "concat_ws('|', " + ", ".join(f"CASE WHEN {any_sql(text, ps)} THEN '{c}' END" for c, ps in lexicon.items()) + ")"

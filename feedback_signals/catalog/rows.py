@@ -66,6 +66,13 @@ def match_lexicon(spark, sf):
     return rows.select("row_id", "keyword_minority", "keyword_categories")
 
 
+@query("match_large_lexicon", f"""
+WITH {T.FB}, k AS (SELECT row_id, {T.categories_sql('text', T.LARGE_LEXICON)} AS c FROM fb)
+SELECT row_id, c <> '' AS keyword_minority, c AS keyword_categories FROM k""")
+def match_large_lexicon(spark, sf):
+    return G.match_lexicon(T.feedback(spark, sf), T.LARGE_LEXICON).select("row_id", "keyword_minority", "keyword_categories")
+
+
 @query("categorize_flagged", f"WITH {T.UNMERGED} SELECT row_id, minority_category FROM det")
 def categorize_flagged(spark, sf):
     rows = G.categorize_flagged(T.detected(T.feedback(spark, sf)), T.LEXICON)

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Mapping, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
-try:
-    import ahocorasick
-except ImportError:  # the searches per phrase need nothing
-    ahocorasick = None
-
 Lexicon = Mapping[str, Sequence[str]]
+_END = ""
 
 
 def shortest_phrases(phrases: Sequence[str]) -> list[str]:
@@ -22,54 +19,42 @@ def shortest_phrases(phrases: Sequence[str]) -> list[str]:
     return [p for p in distinct if not any(q != p and q in p for q in distinct)]
 
 
-def _mentions(lowered: Column, phrases: Sequence[str]) -> Column:
-    """True when any phrase occurs.  ``contains`` on a literal is a byte search
-    in generated code; it needs no regex and no quoting."""
-    found = F.lit(False)
-    for phrase in shortest_phrases(phrases):
-        found = found | lowered.contains(phrase)
-    return F.coalesce(found, F.lit(False))
+def _prefix_tree(phrases: Sequence[str]) -> str:
+    """A pattern for any of the phrases, the longest that fits.  Common beginnings are
+    shared, so a place in the text is read as far as some phrase goes and no further,
+    however many phrases there are."""
+    root: dict = {}
+    for phrase in phrases:
+        node = root
+        for letter in phrase:
+            node = node.setdefault(letter, {})
+        node[_END] = {}
 
+    def pattern(node: dict) -> str:
+        ways = [re.sub(r"([^\w\s])", r"\\\1", letter) + pattern(below) for letter, below in sorted(node.items()) if letter]
+        body = ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})" if ways else ""
+        return f"(?:{body})?" if body and _END in node else body
 
-# Up to this many phrases a search per phrase is at least as fast as one pass of
-# an automaton in a Python worker; for 220 phrases the pass is 7 times as fast.
-MAX_SEARCHES = 16
+    return pattern(root)
 
 
 def matched_categories(lowered: Column, lexicon: Lexicon) -> Column:
     """``array<string>`` of the categories met in a lower-cased text, in lexicon
-    order.  ``lowered`` should be a column, so that lowering happens once."""
-    words = {c: shortest_phrases(ps) for c, ps in lexicon.items() if ps}
-    if not words:
+    order; none for a null text.  ``lowered`` should be a column, so that lowering
+    happens once.  Empty phrases are ignored.
+
+    One search, in the JVM, whatever the number of phrases: the longest phrase at every
+    place of the text.  All others at that place are parts of it, so its categories
+    are those of all phrases within it.
+    """
+    words = {c: shortest_phrases([p for p in ps if p]) for c, ps in lexicon.items()}
+    names = [c for c, ps in words.items() if ps]
+    phrases = sorted({p for ps in words.values() for p in ps})
+    if not phrases:
         return F.array().cast("array<string>")
-    if ahocorasick is not None and sum(map(len, words.values())) > MAX_SEARCHES:
-        return _one_pass(words)(lowered)
-    hits = [F.when(_mentions(lowered, ps), F.lit(c)) for c, ps in words.items()]
-    return F.array_compact(F.array(*hits))
-
-
-def _one_pass(words: Lexicon):
-    """Arrow UDF that finds all phrases in one pass over each text."""
-    names = list(words)
-    phrases: dict[str, list[int]] = {}
-    for i, category in enumerate(names):
-        for phrase in words[category]:
-            phrases.setdefault(phrase, []).append(i)
-    built = {}
-
-    @F.arrow_udf("array<string>")
-    def find(texts: pa.Array) -> pa.Array:
-        if "it" not in built:  # once per task
-            automaton = ahocorasick.Automaton()
-            for phrase, categories in phrases.items():
-                automaton.add_word(phrase, categories)
-            automaton.make_automaton()
-            built["it"] = automaton
-        automaton = built["it"]
-        found = (
-            sorted({c for _, categories in automaton.iter(t) for c in categories}) if t else []
-            for t in texts.to_pylist()
-        )
-        return pa.array([[names[c] for c in hit] for hit in found], pa.list_(pa.string()))
-
-    return find
+    met = {p: [i for i, c in enumerate(names) if any(q in p for q in words[c])] for p in phrases}
+    categories = F.from_json(F.lit(json.dumps(met)), "map<string,array<int>>")
+    hits = F.array_distinct(F.regexp_extract_all(lowered, F.lit(f"(?=({_prefix_tree(phrases)}))"), F.lit(1)))
+    found = F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda h: F.element_at(categories, h)))))
+    named = F.transform(found, lambda i: F.element_at(F.array(*map(F.lit, names)), i + 1))
+    return F.coalesce(named, F.array().cast("array<string>"))

@@ -70,14 +70,24 @@ def test_lexicon(spark):
     assert values(alone, "keyword_categories") == [C.OUTLIER_ONLY]
 
 
-def test_lexicon_one_pass_equals_searches(spark, sf_dir, monkeypatch):
+@pytest.mark.parametrize("size", [3, 300])
+def test_lexicon_equals_a_search_per_phrase(spark, sf_dir, size):
+    """Phrases that share parts, start alike, nest across categories and hold signs
+    that mean something in a pattern."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("row_id"), "text")
-    # More phrases than the limit, sharing parts and repeated in two categories.
-    lexicon = {"A": [f"{a}{b}" for a in "aeiou" for b in "nrst"], "B": ["the", "that", "other than"], "C": ["the", "über", "zzz"]}
-    one_pass = {r.row_id: r.keyword_categories for r in G.match_lexicon(docs, lexicon).collect()}
-    monkeypatch.setattr(X, "ahocorasick", None)
-    searched = {r.row_id: r.keyword_categories for r in G.match_lexicon(docs, lexicon).collect()}
-    assert one_pass == searched and len(set(searched.values())) > 2
+    odd = texts(spark, "a.b (c)", "axb c", "under\\score [x]", "tab\tend $5.00", "über straße", "no visa issue", "visas", "", None).select(
+        (F.col("row_id") + 10 ** 6).alias("row_id"), "text")
+    docs = docs.unionByName(odd)
+    parts = [f"{a}{b}{c}" for a in ("er", "an", "th", "on", "le") for b in "aeious" for c in ("n", "r", "st", " t", ".\n", " d", "x", "z", "q", "k")]
+    lexicon = {"A": parts[:size], "B": ["the", "that", "other than", "visa issue"], "C": ["the", "über", "zzz", "visa", ""],
+               "D": ["a.b", "(c)", "[x]", "\\s", "$5", "b (", "\tend"], "E": []}
+    found = {r.row_id: r.keyword_categories for r in G.match_lexicon(docs, lexicon).collect()}
+    for r in docs.collect():
+        low = (r.text or "").lower()
+        assert found[r.row_id] == "|".join(c for c, ps in lexicon.items() if any(p and p in low for p in ps)), r.text
+    assert len(set(found.values())) > 4
+    plan = G.match_lexicon(docs, lexicon)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_shortest_phrases():
