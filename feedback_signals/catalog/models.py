@@ -9,15 +9,14 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..operators import classifier, dbscan as D, detect, embeddings, evaluation as E, outliers, zero_shot as Z
 from ..plans import pipeline as PL, training as TR
-from ..session import scratch_folder
+from ..session import materialize, scratch_folder
 from ..sources import loaders
 from ..streaming import rate_cap as RC, score_stream as SS
 from . import frames as T
 from .joins import EPS, POINTS, points
 from .registry import ORACLES, query
 
-SETTINGS = C.Settings(trees=100)
-OPTIONS = PL.Options(lexicon=T.LEXICON, settings=SETTINGS)
+OPTIONS = PL.Options(lexicon=T.LEXICON)
 
 
 # --------------------------------------------------------------- candidates
@@ -160,18 +159,19 @@ def small_clusters(spark, sf):
 
 @query("isolation_outliers")
 def isolation_outliers(spark, sf):
-    return outliers.isolation_outliers(points(spark, sf), trees=100).select("row_id", "anomaly_score", "is_outlier")
+    return outliers.isolation_outliers(points(spark, sf)).select("row_id", "anomaly_score", "is_outlier")
 
 
 @query("embed_texts")
 def embed_texts(spark, sf):
     rows = embeddings.embed_texts(_documents(spark, sf).select("row_id", "text"))
-    return rows.select("row_id", F.size("embedding").alias("dims"))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    return rows.select("row_id", F.size("embedding").alias("dims"), F.round(norm, 5).alias("norm"), "embedding")
 
 
 @query("detect_minority")
 def detect_minority(spark, sf):
-    rows = detect.detect_minority(T.feedback(spark, sf), T.LEXICON, settings=SETTINGS)
+    rows = detect.detect_minority(T.feedback(spark, sf), T.LEXICON)
     return rows.select("row_id", "is_outlier", "is_minority_cluster", "is_noise", "cluster_id", "is_minority_pattern", "minority_category")
 
 
@@ -181,8 +181,8 @@ def _trained(spark, sf):
         F.col("doc_id").alias("row_id"), F.when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("sentiment")
     )
     ready = TR.prepare_training(T.feedback(spark, sf).select("row_id", "text").join(truth, "row_id"))
-    rows = ready.rows.persist()
-    return rows, classifier.train_classifier(rows, features=1 << 12, reg_params=(0.01,), max_iter=10)
+    rows = materialize(ready.rows)
+    return rows, classifier.train_classifier(rows)
 
 
 @query("train_classifier")
@@ -195,7 +195,7 @@ def train_classifier(spark, sf):
 @query("evaluate")
 def evaluate(spark, sf):
     rows, model = _trained(spark, sf)
-    judged = classifier.evaluate(rows.select("row_id", "text", "label"), ["text"], "label", model=model)
+    judged = classifier.evaluate(rows.filter("is_test").select("row_id", "text", "label"), ["text"], "label", model=model)
     return E.confusion_matrix(judged)
 
 

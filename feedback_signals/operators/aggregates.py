@@ -62,9 +62,10 @@ def label_group_totals(stats: DataFrame, groups: Sequence[str] = LABEL_GROUPS) -
 
 
 def category_breakdown(df: DataFrame) -> DataFrame:
-    """Flagged rows per category, most frequent first."""
-    rows = split_categories(df.filter(F.col("is_minority_pattern")))
-    return rows.groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category")
+    """Flagged rows per category, most frequent first.  The joined texts are counted
+    first, so only the few distinct ones are split."""
+    joined = df.filter(F.col("is_minority_pattern")).groupBy("minority_category").agg(F.count("*").alias("n"))
+    return split_categories(joined).groupBy("category").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "category")
 
 
 def subtype_distribution(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.text import text_hash
 from ..session import materialize
@@ -31,25 +31,46 @@ def distinct_texts(df: DataFrame, row_id: str = "row_id", text: str = "text") ->
     )
 
 
+def first_written(cache: DataFrame, value: str) -> DataFrame:
+    """One row per key: the pair of the earliest batch, and of one batch the least
+    value.  A key that two writers recorded multiplies no row, and all readers agree."""
+    batch = F.coalesce("batch", F.lit(0)) if "batch" in cache.columns else F.lit(0)
+    return cache.groupBy(KEY).agg(F.min(F.struct(batch.alias("batch"), F.col(value)))[value].alias(value))
+
+
 def apply_cache(df: DataFrame, cache: DataFrame, value: str, text: str = "text") -> DataFrame:
     """Every row with its cached ``value`` (null when unknown)."""
-    known = cache.select(KEY, value)
-    return attach(with_key(df, text), known, KEY, "left")
+    return attach(with_key(df, text), first_written(cache, value), KEY, "left")
 
 
 def not_cached(df: DataFrame, cache: DataFrame, text: str = "text") -> DataFrame:
     """The rows whose text is not in the cache."""
-    return attach(with_key(df, text), cache.select(KEY), KEY, "left_anti")
+    return attach(with_key(df, text), cache.select(KEY).distinct(), KEY, "left_anti")
 
 
 def append_cache(cache_path: str, fresh: DataFrame, value: str) -> None:
-    """Add pairs whose key is new; the first writer of a key wins."""
+    """Add pairs whose key is new, as the next batch.  Writers that run at once may
+    both record a key; ``first_written`` decides between them."""
     spark = fresh.sparkSession
-    pairs = fresh.groupBy(KEY).agg(F.min(value).alias(value))
+    pairs, batch = fresh.groupBy(KEY).agg(F.min(value).alias(value)), 1
     if table_exists(spark, cache_path):
-        known = spark.read.parquet(cache_path).select(KEY)
-        pairs = pairs.join(known, KEY, "left_anti")
-    pairs.write.mode("append").parquet(cache_path)
+        held = read_cache(spark, cache_path, fresh.select(KEY, value))
+        batch = 1 + (held.agg(F.max("batch")).first()[0] or 0)
+        pairs = pairs.join(held.select(KEY), KEY, "left_anti")
+    pairs.withColumn("batch", F.lit(batch).cast("long")).write.mode("append").parquet(cache_path)
+
+
+def read_cache(spark, cache_path: str, pairs: DataFrame) -> DataFrame:
+    """The table of pairs as written, with ``batch`` (null in tables without it)."""
+    schema = T.StructType([*pairs.schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(schema).parquet(cache_path)
+
+
+def compact_cache(cache_path: str, target: str, value: str, spark) -> None:
+    """The same pairs with one row per key, written to a new folder; readers of the old
+    one are not disturbed."""
+    cache = spark.read.option("mergeSchema", True).parquet(cache_path)
+    first_written(cache, value).withColumn("batch", F.lit(1).cast("long")).write.parquet(target)
 
 
 def table_exists(spark, path: str) -> bool:
@@ -81,5 +102,6 @@ def score_distinct(
     spark = df.sparkSession
     if table_exists(spark, cache_path):
         texts = not_cached(texts, spark.read.parquet(cache_path), text)
-    append_cache(cache_path, score(texts).select(KEY, value), value)
-    return apply_cache(keyed, spark.read.parquet(cache_path), value, text)
+    fresh = score(texts).select(KEY, value)
+    append_cache(cache_path, fresh, value)
+    return apply_cache(keyed, read_cache(spark, cache_path, fresh), value, text)

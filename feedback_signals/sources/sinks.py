@@ -51,7 +51,8 @@ def safe_name(label):
 
 
 def export_by_label(df: DataFrame, path: str, label: str | None = None) -> None:
-    """One folder per label in a single write, or one known label."""
+    """One folder per label in a single write, or one known label.  The folders are
+    named ``label=...``, or ``label_1=...`` and so on where the rows have that column."""
     if label is not None:
         rows = df.filter(F.col("prediction") == label)
         if rows.isEmpty():
@@ -59,9 +60,11 @@ def export_by_label(df: DataFrame, path: str, label: str | None = None) -> None:
         write_csv(rows, path)
         return
     flat = shape_for_export(df.filter(F.col("prediction").isNotNull()))
-    flat.withColumn("label", safe_name(F.col("prediction"))).write.mode("overwrite").options(
+    taken = {c.lower() for c in flat.columns}
+    folder = next(name for name in ("label", *(f"label_{i}" for i in range(1, len(taken) + 2))) if name not in taken)
+    flat.withColumn(folder, safe_name(F.col("prediction"))).write.mode("overwrite").options(
         header=True, escape='"'
-    ).partitionBy("label").csv(path)
+    ).partitionBy(folder).csv(path)
 
 
 def peer_split(df: DataFrame) -> dict[str, DataFrame]:

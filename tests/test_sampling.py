@@ -91,6 +91,24 @@ def test_dense_ids(spark, monkeypatch):
     assert sorted(map(tuple, dense_ids(keys, "k", "n").collect())) == few == [(3 * i, i) for i in range(3000)]
 
 
+def test_a_key_of_two_writers_multiplies_no_row(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "new")], "row_id long, text string")
+    keyed = caches.with_key(df).drop("row_id", "text").distinct()
+    path, target = str(tmp_path / "cache"), str(tmp_path / "compact")
+    for value, batch in (("late", 2), ("first", 1), ("second", 1)):  # the order of writing does not matter
+        keyed.limit(2).withColumn("v", F.lit(value)).withColumn("batch", F.lit(batch).cast("long")).write.mode("append").parquet(path)
+    cache = spark.read.parquet(path)
+    got = caches.apply_cache(df, cache, "v").collect()
+    assert len(got) == 4 and {r.v for r in got} == {"first", None}
+    assert caches.not_cached(df, cache).count() == sum(r.v is None for r in got)
+    caches.append_cache(path, keyed.withColumn("v", F.lit("third")), "v")
+    assert spark.read.parquet(path).filter("v = 'third'").select("batch").distinct().first().batch == 3
+    caches.compact_cache(path, target, "v", spark)
+    assert spark.read.parquet(target).count() == 3 == spark.read.parquet(target).select("text_hash").distinct().count()
+    old = cache.drop("batch").distinct()  # a table of earlier runs, without batches
+    assert caches.apply_cache(df, old, "v").count() == 4
+
+
 def test_cache_round_trip(spark, tmp_path):
     path = str(tmp_path / "c")
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "row_id long, text string")

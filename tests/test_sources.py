@@ -199,6 +199,10 @@ def test_exports(spark, scored, tmp_path):
     assert per == {r.prediction: r["count"] for r in df.groupBy("prediction").count().collect()}
     with pytest.raises(ValueError):
         sinks.export_by_label(df, str(tmp_path / "none"), "No_Such_Label")
+    named = df.withColumn("label", F.lit("mine"))
+    sinks.export_by_label(named, str(tmp_path / "named"))
+    back = read_back(spark, str(tmp_path / "named"))
+    assert {r.label for r in back.collect()} == {"mine"} and "label_1" in back.columns
     names = sinks.export_course_split(df, str(tmp_path / "course"), "entity")
     assert len(names) == 8
     summary = read_back(spark, str(tmp_path / "course" / "dimension_summary"))
