@@ -18,11 +18,15 @@ read once per Python worker.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
@@ -41,8 +45,10 @@ def load_ranks(vocabulary: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=4)
-def _tokens(vocabulary: str) -> dict[int, bytes]:
-    return {rank: token for token, rank in load_ranks(vocabulary).items()}
+def _tokens(vocabulary: str) -> pa.LargeBinaryArray:
+    """The bytes of every id at its position; null where the vocabulary has none."""
+    by_rank = {rank: token for token, rank in load_ranks(vocabulary).items()}
+    return pa.array(map(by_rank.get, range(max(by_rank, default=-1) + 1)), pa.large_binary())
 
 
 def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -96,25 +102,25 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Encoder(dict):
-    """Pre-token to ids, remembering the last ones in two generations, so that
-    frequent pre-tokens outlive a full cache."""
+    """Pre-token to its ids as packed 32-bit numbers, remembering the last ones in two
+    generations, so that frequent pre-tokens outlive a full cache."""
 
     def __init__(self, vocabulary: str, pattern: str):
         self.ranks, self.split = load_ranks(vocabulary), regex.compile(pattern).findall
-        self.old: dict[str, list[int]] = {}
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, token: str) -> list[int]:
+    def __missing__(self, token: str) -> bytes:
         if len(self) > _CACHE:
             self.old = dict(self)
             self.clear()
         ids = self.old.get(token)
         if ids is None:
-            ids = merge(token.encode("utf-8", "surrogatepass"), self.ranks)
+            ids = array("i", merge(token.encode("utf-8", "surrogatepass"), self.ranks)).tobytes()
         self[token] = ids
         return ids
 
-    def __call__(self, text: str) -> list[int]:
-        return [i for ids in map(self.__getitem__, self.split(text)) for i in ids]
+    def __call__(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.split(text)))
 
 
 @lru_cache(maxsize=4)
@@ -127,15 +133,16 @@ def _encode_column(vocabulary: str, pattern: str, at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(vocabulary, pattern)
         for batch in batches:
-            begin, ids, size = 0, [], 0
+            begin, packed, ends = 0, [], [0]
             for row, text in enumerate(batch.column(at)):
-                ids.append(encode(text.as_py() or ""))
-                size += len(ids[-1])
-                if size > _IDS_PER_BATCH or row + 1 == batch.num_rows:
-                    columns = [c.slice(begin, len(ids)) for c in batch.columns]
-                    columns[at] = pa.array(ids, pa.list_(pa.int32()))
+                packed.append(encode(text.as_py() or ""))
+                ends.append(ends[-1] + len(packed[-1]) // 4)
+                if ends[-1] > _IDS_PER_BATCH or row + 1 == batch.num_rows:
+                    columns = [c.slice(begin, len(packed)) for c in batch.columns]
+                    ids = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(packed))])
+                    columns[at] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)
                     yield pa.RecordBatch.from_arrays(columns, names)
-                    begin, ids, size = row + 1, [], 0
+                    begin, packed, ends = row + 1, [], [0]
     return run
 
 
@@ -181,23 +188,33 @@ def _edges(pattern: str, chunk: int, overlap: int):
 
 
 def stitch(chunks: list[str], heads: list[list[int]], tails: list[list[int]], pattern: str, chunk: int) -> list[str]:
-    """Pieces of a text that are pre-tokenised alike alone and in their place."""
+    """Pieces of a text that are pre-tokenised alike alone and in their place.
+
+    Where an overlap has no common boundary, one walk over the matches of the text goes on
+    from the last stitch, through all further chunks until one agrees: linear for a
+    pre-token of any length."""
     split = regex.compile(pattern)
-    pieces, held, start = [], chunks[0], 0  # held: text from the start of chunk ``first``
-    first, tail = 0, tails[0]
+    text = "".join([*(c[:chunk] for c in chunks[:-1]), chunks[-1]])
+    pieces, start, first, walk, at = [], 0, 0, None, None  # walk: from ``start``, now at ``at``
     for k in range(1, len(chunks)):
-        base = (k - first) * chunk  # where chunk k starts in held
+        base = k * chunk
         common = {base + h for h in heads[k]}
-        meet = next((t for t in tail if t >= start and t in common), None)
-        if meet is None and k - first > 1:  # held is longer than a chunk: look again from its start
-            ends = _boundaries(split, held, start, base, len(held) - AHEAD)
-            meet = next((t for t in ends if t in common), None)
-        if meet is None:
-            held, tail = held[:base] + chunks[k], []
-            continue
-        pieces.append(held[start:meet])
-        held, start, first, tail = chunks[k], meet - base, k, tails[k]
-    return [p for p in (*pieces, held[start:]) if p]
+        meet = None
+        if walk is None:
+            known = (first * chunk + t for t in tails[first])
+            meet = next((t for t in known if t >= start and t in common), None)
+            if meet is None:
+                walk = (match.start() for match in split.finditer(text, start))
+                at = next(walk, None)
+        else:
+            last = max(common, default=-1)
+            while at is not None and at <= last and at not in common:
+                at = next(walk, None)
+            meet = at if at in common else None
+        if meet is not None:
+            pieces.append(text[start:meet])
+            start, first, walk = meet, k, None
+    return [p for p in (*pieces, text[start:]) if p]
 
 
 def _stitched(pattern: str, chunk: int):
@@ -251,22 +268,62 @@ def encode(
     return short.unionByName(long.select("doc_id", "sha").join(whole, "sha").select("doc_id", "ids"))
 
 
+def _few_ids(batches: Iterator[pa.RecordBatch], ids: str) -> Iterator[pa.RecordBatch]:
+    """The batches in cuts of about ``_IDS_PER_BATCH`` ids; a row is never cut."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.list_value_length(batch.column(ids)), 0).to_numpy(zero_copy_only=False)
+        ends, begin = np.cumsum(lengths, dtype=np.int64), 0
+        while begin < batch.num_rows:
+            held = ends[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, held + _IDS_PER_BATCH, side="right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
+def _decoded(ids: pa.ListArray, tokens: pa.LargeBinaryArray) -> list[memoryview | None]:
+    """The bytes of every row of ids, cut from one buffer in which the tokens of all
+    rows follow each other; an id outside the vocabulary is an error."""
+    taken = tokens.take(ids.flatten())
+    if taken.null_count:
+        raise KeyError("an id that the vocabulary does not have")
+    _, offsets, data = taken.buffers()
+    starts = np.frombuffer(offsets, np.int64, len(taken) + 1, 8 * taken.offset) if len(taken) else np.zeros(1, np.int64)
+    lengths = pc.list_value_length(ids).to_pylist()
+    ends = starts[np.cumsum([0, *(n or 0 for n in lengths)])].tolist()
+    view = memoryview(data or b"")
+    return [None if n is None else view[a:b] for n, a, b in zip(lengths, ends, ends[1:])]
+
+
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
     """The rows with ``decoded``, the bytes of their ids (null for null)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(vocabulary)
-        for batch in batches:
-            at = batch.schema.get_field_index(ids)
-            for begin in range(0, batch.num_rows, 256):
-                cut = batch.slice(begin, 256)
-                decoded = [
-                    None if row is None else b"".join(map(tokens.__getitem__, row)) for row in map(_values, cut.column(at))
-                ]
-                yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, "decoded"])
+        for batch in _few_ids(batches, ids):
+            decoded = [None if row is None else bytes(row) for row in _decoded(batch.column(ids), tokens)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{name}` {kind}" for name, kind in encoded.dtypes) + ", decoded binary"
     return encoded.mapInArrow(run, schema)
 
 
-def _values(row: pa.ListScalar):
-    return None if row.values is None else row.values.to_numpy(zero_copy_only=False).tolist()
+def digests(encoded: DataFrame, vocabulary: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of ``doc_id, ids``: the ids in
+    decimal joined by a space, and the bytes they decode to.  Neither leaves the worker."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = _tokens(vocabulary)
+        for batch in _few_ids(batches, "ids"):
+            ids = batch.column("ids")
+            written = pc.binary_join(ids.cast(pa.list_(pa.string())), " ")
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), pc.list_value_length(ids).cast(pa.int64()),
+                _sha256(row.as_buffer() for row in written), _sha256(_decoded(ids, tokens)),
+            ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = dict(encoded.dtypes)["doc_id"]
+    return encoded.select("doc_id", "ids").mapInArrow(
+        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    )
+
+
+def _sha256(rows) -> pa.Array:
+    return pa.array([None if row is None else hashlib.sha256(row).hexdigest() for row in rows], pa.string())

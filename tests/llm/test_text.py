@@ -2,6 +2,7 @@ import base64
 from hashlib import sha256
 
 import public_tokenizers
+import pytest
 import tiktoken
 
 from feedback_signals.llm import byte_bpe, pii, template
@@ -23,7 +24,38 @@ def test_bpe_equals_the_library_and_round_trips(spark):
         decoded = byte_bpe.decode(encoded, VOCABULARY).collect()
         assert sorted(((r["doc_id"], r["ids"]) for r in decoded), key=str) == wanted
         assert sorted((r["doc_id"], bytes(r["decoded"])) for r in decoded) == sorted((r[0], (r[1] or "").encode()) for r in rows)
-    assert byte_bpe.encode(fixtures.empty(spark), VOCABULARY, public_tokenizers.PATTERN).count() == 0
+        digests = byte_bpe.digests(encoded, VOCABULARY).collect()
+        sha = lambda data: sha256(data).hexdigest()
+        assert sorted(map(tuple, digests), key=str) == sorted((
+            (r[0], len(ids), sha(" ".join(map(str, ids)).encode()), sha((r[1] or "").encode()))
+            for r in rows for ids in [library.encode_ordinary(r[1] or "")]
+        ), key=str)
+    empty = byte_bpe.encode(fixtures.empty(spark), VOCABULARY, public_tokenizers.PATTERN)
+    assert empty.count() == 0 and byte_bpe.digests(empty, VOCABULARY).count() == 0
+
+
+def test_bpe_decodes_rows_of_any_ids(spark):
+    rows = [(1, [0, 1, 2] * 100_000), (2, None), (3, []), (4, [5]), (4, [5]), (None, [49_999])]
+    table = spark.createDataFrame(rows, "doc_id long, ids array<int>").coalesce(1)
+    by_rank = {v: k for k, v in byte_bpe.load_ranks(VOCABULARY).items()}
+    wanted = [(d, None if ids is None else b"".join(by_rank[i] for i in ids)) for d, ids in rows]
+    assert [(r.doc_id, None if r.decoded is None else bytes(r.decoded)) for r in byte_bpe.decode(table, VOCABULARY).collect()] == wanted
+    for wrong in ([10**8], [-1], [None]):
+        bad = spark.createDataFrame([(1, wrong)], "doc_id long, ids array<int>")
+        with pytest.raises(Exception):
+            byte_bpe.decode(bad, VOCABULARY).collect()
+
+
+def test_bpe_stitches_a_very_long_pre_token_in_one_walk():
+    chunk, overlap = byte_bpe.CHUNK, byte_bpe.OVERLAP
+    for text in ("x" * 1_000_000, "ab " * 20_000 + "y" * 200_000 + " cd" * 40_000, " " * 300_000):
+        chunks = [text[b : b + chunk + overlap] for b in range(0, len(text), chunk)]
+        split = byte_bpe.regex.compile(public_tokenizers.PATTERN)
+        heads = [byte_bpe._boundaries(split, c, 0, 0, overlap) for c in chunks]
+        tails = [byte_bpe._boundaries(split, c, 0, chunk, len(c) - byte_bpe.AHEAD) for c in chunks]
+        pieces = byte_bpe.stitch(chunks, heads, tails, public_tokenizers.PATTERN, chunk)
+        assert "".join(pieces) == text
+        assert [m for p in pieces for m in split.findall(p)] == split.findall(text)
 
 
 def _base(text):
