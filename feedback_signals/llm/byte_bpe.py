@@ -36,6 +36,9 @@ OVERLAP = 512
 AHEAD = 4
 _CACHE = 100_000
 _IDS_PER_BATCH = 1 << 17
+#: Characters whose pre-tokens are looked up together.
+_TOGETHER = 1 << 18
+_NEVER = 1 << 40
 
 
 @lru_cache(maxsize=4)
@@ -101,26 +104,92 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
-class _Encoder(dict):
-    """Pre-token to its ids as packed 32-bit numbers, remembering the last ones in two
-    generations, so that frequent pre-tokens outlive a full cache."""
+class _Pairs:
+    """Which two neighbours merge into what: a sorted array of (left, right) ids, and
+    beside it the ids of their concatenations."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        found = [
+            (left << 32 | right, rank)
+            for token, rank in ranks.items() for cut in range(1, len(token))
+            if (left := ranks.get(token[:cut])) is not None and (right := ranks.get(token[cut:])) is not None
+        ]
+        table = np.array(sorted(found), np.int64).reshape(-1, 2)
+        self.keys = np.append(table[:, 0], np.iinfo(np.int64).max)
+        self.merged = np.append(table[:, 1], _NEVER)
+        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << 32 | right
+        at = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[at] == keys, self.merged[at], _NEVER)
+
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of many pre-tokens by the rule of ``merge``: in a round each makes
+        its merge of least rank, leftmost first; one without any is finished."""
+        ids = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        owner = np.repeat(np.arange(len(pieces)), np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        rank = np.full(len(ids), _NEVER)  # of a symbol and its right neighbour
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        rank[inner] = self(ids[inner], ids[inner + 1])
+        owners, finished = [], []
+        while len(ids):
+            begin = np.flatnonzero(np.diff(owner, prepend=-1))
+            least = np.minimum.reduceat(rank, begin)
+            least = np.repeat(least, np.diff(begin, append=len(ids)))
+            open_ = least < _NEVER
+            owners.append(owner[~open_])
+            finished.append(ids[~open_])
+            ids, owner, rank, least = ids[open_], owner[open_], rank[open_], least[open_]
+            hits = np.flatnonzero(rank == least)
+            hits = hits[np.diff(owner[hits], prepend=-1) != 0]
+            ids[hits] = rank[hits]
+            keep = np.ones(len(ids), bool)
+            keep[hits + 1] = False
+            ids, owner, rank = ids[keep], owner[keep], rank[keep]
+            hits -= np.arange(len(hits))  # every pre-token before lost one symbol
+            touched = np.concatenate([hits, hits[hits > 0] - 1])
+            rank[touched] = _NEVER
+            touched = touched[touched + 1 < len(ids)]
+            touched = touched[owner[touched] == owner[touched + 1]]
+            rank[touched] = self(ids[touched], ids[touched + 1])
+        owner = np.concatenate([*owners, np.empty(0, np.int64)])
+        order = np.argsort(owner, kind="stable")
+        packed = np.concatenate([*finished, np.empty(0, np.int64)])[order].astype(np.int32).tobytes()
+        ends = (4 * np.cumsum(np.bincount(owner, minlength=len(pieces)))).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends], ends)]
+
+
+class _Encoder:
+    """Texts to ids, packed as 32-bit numbers.  The ids of pre-tokens are remembered in
+    two generations, so that frequent ones outlive a full cache."""
 
     def __init__(self, vocabulary: str, pattern: str):
         self.ranks, self.split = load_ranks(vocabulary), regex.compile(pattern).findall
+        self.pairs = _Pairs(self.ranks)
+        self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def __missing__(self, token: str) -> bytes:
-        if len(self) > _CACHE:
-            self.old = dict(self)
-            self.clear()
-        ids = self.old.get(token)
-        if ids is None:
-            ids = array("i", merge(token.encode("utf-8", "surrogatepass"), self.ranks)).tobytes()
-        self[token] = ids
-        return ids
-
-    def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.split(text)))
+    def _learn(self, tokens: set[str]) -> None:
+        if len(self.known) > _CACHE:
+            self.known, self.old = {}, self.known
+        short = {}
+        for token in tokens - self.known.keys():
+            ids = self.old.get(token)
+            if ids is None:
+                piece = token.encode("utf-8", "surrogatepass")
+                if piece not in self.ranks and len(piece) <= 64:
+                    short[token] = piece
+                    continue
+                ids = array("i", merge(piece, self.ranks)).tobytes()
+            self.known[token] = ids
+        self.known.update(zip(short, self.pairs.merge_all(list(short.values()))))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [self.split(text) for text in texts]
+        self._learn(set().union(*split))
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, tokens)) for tokens in split]
 
 
 @lru_cache(maxsize=4)
@@ -133,16 +202,18 @@ def _encode_column(vocabulary: str, pattern: str, at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(vocabulary, pattern)
         for batch in batches:
-            begin, packed, ends = 0, [], [0]
+            begin, texts, size = 0, [], 0
             for row, text in enumerate(batch.column(at)):
-                packed.append(encode(text.as_py() or ""))
-                ends.append(ends[-1] + len(packed[-1]) // 4)
-                if ends[-1] > _IDS_PER_BATCH or row + 1 == batch.num_rows:
-                    columns = [c.slice(begin, len(packed)) for c in batch.columns]
-                    ids = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(packed))])
+                texts.append(text.as_py() or "")
+                size += len(texts[-1])
+                if size > _TOGETHER or row + 1 == batch.num_rows:
+                    packed = encode(texts)
+                    ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
+                    ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(packed))])
+                    columns = [c.slice(begin, len(texts)) for c in batch.columns]
                     columns[at] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)
                     yield pa.RecordBatch.from_arrays(columns, names)
-                    begin, packed, ends = row + 1, [], [0]
+                    begin, texts, size = row + 1, [], 0
     return run
 
 
