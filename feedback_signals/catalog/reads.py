@@ -199,6 +199,21 @@ def csv_round_trip(spark, sf):
     return rows.select(F.col("id").alias("row_id"), F.md5(text).alias("text_md5"), "rating", "prediction")
 
 
+@query("read_by_own_header", f"""
+WITH {T.FB} SELECT row_id, md5(replace({_missing_as_null('text')}, chr(13) || chr(10), chr(10))) AS text_md5, rating, prediction FROM fb""")
+def read_by_own_header(spark, sf):
+    """Every row in one of two folders whose files order and name their columns
+    differently, read as one table."""
+    path = f"{scratch_folder(spark)}/exports/{uuid.uuid4().hex}"
+    source = T.feedback(spark, sf).select(F.col("row_id").alias("id"), "text", "rating", "prediction")
+    rated = F.coalesce(F.col("rating") >= 3, F.lit(False))
+    sinks.export_full(source.filter(rated), f"{path}/rated")
+    sinks.export_full(source.filter(~rated).select("prediction", "rating", "text", "id"), f"{path}/others")
+    rows = files.read_feedback(spark, f"{path}/*")
+    text = F.replace("text", F.lit("\r\n"), F.lit("\n"))
+    return rows.select(F.col("id").alias("row_id"), F.md5(text).alias("text_md5"), "rating", "prediction")
+
+
 @query("export_by_label", f"""
 WITH {T.FB} SELECT prediction AS label, count(*) AS n FROM fb GROUP BY prediction""")
 def export_by_label(spark, sf):

@@ -1,4 +1,5 @@
 import csv
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +88,91 @@ def test_split_file_keeps_order(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_every_file_by_its_own_header(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    write(folder / "a.csv", [["first comment", 1], ["second\ncomment", 2]], ["comment", "rating"])
+    write(folder / "b.csv", [[3, "third comment", "x"]], ["rating", "comment", "Comment"])
+    write(folder / "c.csv", [["This whole file has no header, only feedback."], ["fourth"]])
+    write(folder / "d.csv", [["fifth comment", 5]], ["comment", "rating"])
+    (folder / "e.csv").write_text("")
+    (folder / "f.csv").write_text("comment,rating\n")
+    for multi_line in (True, False):
+        df = files.read_feedback(spark, str(folder), multi_line)
+        other = files.stored_name(df, "Comment")
+        assert files.original_names(df)[other] == "Comment" and dict(df.dtypes)["rating"] == "bigint"
+        rows = [(r.row_id, r.comment, r.rating, r[other], r.text) for r in df.orderBy("row_id").collect()]
+        if multi_line:
+            assert rows == [
+                (0, "first comment", 1, None, None), (1, "second\ncomment", 2, None, None),
+                (2, "third comment", 3, "x", None),
+                (3, None, None, None, "This whole file has no header, only feedback."), (4, None, None, None, "fourth"),
+                (5, "fifth comment", 5, None, None),
+            ]
+        else:
+            assert (rows[-1][1:3], rows[3][1:4]) == (("fifth comment", 5), ("third comment", 3, "x"))
+    (tmp_path / "empty.csv").write_text("")
+    assert files.read_feedback(spark, str(tmp_path / "empty.csv")).count() == 0
+
+
+def test_quoted_line_breaks_survive_splitting(spark, tmp_path):
+    draw = random.Random(7)
+    piece = ["a", "word", '"', ",", "\n", "\n\n", '""', " ", '",', '"\n', "x" * 40]
+    rows = [["".join(draw.choices(piece, k=draw.randint(1, 12))) + "|", str(i)] for i in range(1500)]
+    folder = tmp_path / "split"
+    folder.mkdir()
+    for i in range(3):
+        write(folder / f"{i}.csv", rows[500 * i:500 * i + 500], ["comment", "n"])
+    sizes = [("512", 30), ("4096", 3), ("100000000", 0)]
+    for size, at_least in sizes:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            df = files.read_feedback(spark, str(folder))
+            assert spark.read.text(str(folder)).rdd.getNumPartitions() > at_least
+            found = df.orderBy("row_id").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert [[r.comment, str(r.n)] for r in found] == rows
+        assert [r.row_id for r in found] == list(range(1500))
+
+
+def test_open_cells_line_by_line():
+    draw = random.Random(3)
+
+    def plain(line, inside):  # a character at a time
+        cell, at = ("inside" if inside else "new"), 0
+        while at < len(line):
+            c = line[at]
+            if cell == "inside" and c == '"':
+                if line[at + 1:at + 2] == '"':
+                    at += 1
+                else:
+                    cell = "rest"
+            elif cell != "inside" and c == ",":
+                cell = "new"
+            elif cell == "new":
+                cell = "inside" if c == '"' else "rest"
+            at += 1
+        return cell == "inside"
+
+    for _ in range(20_000):
+        line = "".join(draw.choices('",a', k=draw.randint(0, 12)))
+        for inside in (False, True):
+            assert files.leaves_open(line, inside) == plain(line, inside), (line, inside)
+    assert files.leaves_open('a,' * 100_000 + '"' + 'b""' * 100_000, False)
+
+
+def test_malformed_records_are_shown(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('\ufeffcomment,rating\r\ngood one,4\r\nshort\r\n\r\n"long, with ""quotes""",5,more\r\n', newline="")
+    df = files.read_feedback(spark, str(tmp_path / "m.csv"), malformed="raw")
+    assert [(r.row_id, r.comment, r.rating, r.raw) for r in df.orderBy("row_id").collect()] == [
+        (0, "good one", 4, None), (1, "short", None, "short"),
+        (2, 'long, with "quotes"', 5, '"long, with ""quotes""",5,more'),
+    ]
+
+
 def test_headerless_and_peer(spark, tmp_path):
     lines = [["This teammate always shows up and helps the others."], ["short"], ["207043,2227414"], ["Student 1234567 did the whole part alone"],
              ["12 34 56 78 90 !! ?? 12 34"], ["Another fine comment about the team member."]]
