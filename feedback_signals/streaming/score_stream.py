@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -44,9 +45,15 @@ def score_stream(
     checkpoint_dir: str,
     files_per_batch: int = 64,
     file_format: str = "parquet",
+    trigger: Mapping[str, object] | None = None,
 ) -> StreamingQuery:
     """Score every file that appears in ``in_dir``.  A batch overwrites its own
-    folder, so a batch that is run again after a failure leaves no duplicates."""
+    folder, so a batch that is run again after a failure leaves no duplicates.
+
+    ``trigger`` holds the arguments of ``DataStreamWriter.trigger``; by default what
+    lies there is scored and the query ends, ``{"processingTime": "1 minute"}`` goes on
+    until it is stopped.  A query started again on the same folders goes on where the
+    one before stopped, whatever the triggers of the two."""
     source = (
         spark.readStream.schema(schema).format(file_format)
         .option("maxFilesPerTrigger", files_per_batch).load(in_dir)
@@ -62,7 +69,7 @@ def score_stream(
     return (
         scored.writeStream.foreachBatch(publish)
         .option("checkpointLocation", checkpoint_dir)
-        .trigger(availableNow=True).start()
+        .trigger(**(trigger or {"availableNow": True})).start()
     )
 
 

@@ -232,6 +232,30 @@ def test_score_stream_equals_batch(spark, sf_dir, tmp_path):
     assert totals == stats
 
 
+def test_score_stream_goes_on_and_starts_again(spark, sf_dir, tmp_path):
+    source = T.feedback(spark, sf_dir).select("row_id", "text", "rating")
+    folder, out, state = (str(tmp_path / name) for name in ("in", "out", "cp"))
+    start = lambda trigger: SS.score_stream(
+        spark, folder, out, "row_id long, text string, rating double", C.S2P, OPTIONS, state, trigger=trigger
+    )
+    source.filter("row_id % 3 = 0").coalesce(1).write.mode("append").parquet(folder)
+    query = start({"processingTime": "1 second"})
+    try:
+        query.processAllAvailable()
+        source.filter("row_id % 3 = 1").coalesce(1).write.mode("append").parquet(folder)
+        query.processAllAvailable()
+        assert query.isActive
+    finally:
+        query.stop()
+    source.filter("row_id % 3 = 2").coalesce(1).write.mode("append").parquet(folder)
+    query = start(None)
+    query.awaitTermination(180)
+    assert query.exception() is None and not query.isActive
+    ids = [r.row_id for r in spark.read.parquet(f"{out}/rows").select("row_id").collect()]
+    wanted = [r.row_id for r in SS.score_batch(source, C.S2P, OPTIONS).select("row_id").collect()]
+    assert sorted(ids) == sorted(wanted)
+
+
 def test_loaded_lexicon_drives_the_chain(spark, tmp_path):
     spark.createDataFrame([("A", 0, "the"), ("B", 1, "zz")], "category string, ord int, phrase string").write.parquet(str(tmp_path / "lex"))
     assert files.read_lexicon(spark, str(tmp_path / "lex")) == {"A": ["the"], "B": ["zz"]}
