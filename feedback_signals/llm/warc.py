@@ -37,6 +37,8 @@ from ..session import Stages
 MIN_REVISIT = 100
 ROLL_BYTES = 256 << 20
 RANGE_BYTES = 256 << 20
+#: Smaller tables are written in up to this many ranges of at least so many bytes.
+SPREAD, SPREAD_BYTES = 32, 8 << 20
 #: Ids read to place the bounds of ranges; balance depends on it, results do not.
 BOUND_ROWS = 10_000
 SALTS = 16
@@ -187,6 +189,12 @@ def revisits(pages: DataFrame) -> DataFrame:
     return salted.join(first, ["digest", "salt"]).filter("refers_to < page_id").select("page_id", "digest", "refers_to").distinct()
 
 
+def range_count(size: int, range_bytes: int = RANGE_BYTES) -> int:
+    """How many ranges a table of ``size`` bytes is written in.  Nothing but the bytes
+    counts, so every cluster writes the same files."""
+    return max(1, -(-size // range_bytes), min(SPREAD, -(-size // SPREAD_BYTES)))
+
+
 def write_archive(
     pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html",
     roll_bytes: int = ROLL_BYTES, range_bytes: int = RANGE_BYTES,
@@ -198,7 +206,7 @@ def write_archive(
         F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")
     )
     size, n = rows.agg(F.sum(F.octet_length("html").cast("long") + 400), F.count(F.lit(1))).first()
-    ranges = max(1, -(-(size or 0) // range_bytes), min(n, spark.sparkContext.defaultParallelism))
+    ranges = range_count(size or 0, range_bytes)
     every = max(1, n // BOUND_ROWS)
     bounds = sorted(r[0] for r in rows.filter(
         (F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0) & F.col("page_id").isNotNull()

@@ -35,6 +35,12 @@ def test_archive_round_trip_equals_brute_force(spark):
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
+def test_ranges_follow_from_the_bytes():
+    mb = 1 << 20
+    assert [warc.range_count(s) for s in (0, 1, 8 * mb, 8 * mb + 1, 255 * mb, 1 << 33, (1 << 33) + 1)] == [1, 1, 1, 2, 32, 32, 33]
+    assert warc.range_count(100_000, 20_000) == 5
+
+
 def test_files_are_rolled_ordered_and_the_same_on_every_run(spark):
     _, pages = _pages(spark)
     seen = []
