@@ -110,16 +110,6 @@ def export_minority_rows(spark, sf):
     return sinks.minority_rows(T.scored(spark, sf)).select("row_id", "minority_category")
 
 
-def _tagged(outputs):
-    result = None
-    for name, rows in outputs.items():
-        if "row_id" not in rows.columns:
-            continue
-        part = rows.select(F.lit(name).alias("output"), "row_id")
-        result = part if result is None else result.union(part)
-    return result
-
-
 _PEER_SCORED = T.SCORED + f""", pl AS (SELECT doc_id AS row_id,
   {T.names_sql(C.PEER_LABELS + C.SELF_LABELS)}[((doc_id * doc_id + n_chars) % 11)::INT + 1] AS p FROM documents),
 ps AS (SELECT scored.* REPLACE (p AS prediction) FROM scored JOIN pl USING (row_id))"""
@@ -135,7 +125,7 @@ UNION ALL SELECT 'negative_peer_only', row_id FROM ps WHERE catme_subtype = 'pee
 def peer_split_rows(spark, sf):
     names = T.peer(spark, sf).select("row_id", F.col("prediction").alias("p"))
     rows = T.scored(spark, sf).join(names, "row_id").withColumn("prediction", F.col("p")).drop("p")
-    return _tagged(sinks.peer_split(rows))
+    return sinks.route(rows, sinks.peer_routes(rows)).select("output", "row_id")
 
 
 @query("course_split_rows", f"""
@@ -145,7 +135,8 @@ UNION ALL SELECT 'minority_experiences', row_id FROM scored WHERE {T.REAL}
 UNION ALL SELECT lower(split_part(prediction, '_', 1)) || '_results', row_id FROM scored
   WHERE split_part(prediction, '_', 1) IN {T.in_sql(sinks.COURSE_GROUPS)}""")
 def course_split_rows(spark, sf):
-    return _tagged(sinks.course_split(T.scored(spark, sf), "entity"))
+    rows = T.scored(spark, sf)
+    return sinks.route(rows, sinks.course_routes(rows)).select("output", "row_id")
 
 
 @query("export_queue_review", f"WITH {_REVIEW} SELECT row_id, prediction, confidence FROM rq")

@@ -30,6 +30,21 @@ def priority_alerts(df: DataFrame, k: int = 100) -> DataFrame:
     return by_priority(df).limit(k)
 
 
+def priority_key() -> Column:
+    """A key whose ascending order is that of ``by_priority``."""
+    score = F.col("priority_score")
+    return F.struct(score.isNull().alias("unscored"), (-score).alias("low"), F.col("row_id").alias("row_id"))
+
+
+def is_priority_alert(df: DataFrame, k: int = 100) -> Column:
+    """Whether a row of ``df`` is one of ``priority_alerts``, as a condition, so that
+    the row need not be sorted.  The last key that belongs to them comes from a pass
+    over two columns in which every task keeps ``k`` keys.  Rows that share the last
+    key (a repeated ``row_id``) all belong."""
+    first = df.select(priority_key().alias("key")).orderBy("key").limit(k)
+    return F.coalesce(priority_key() <= first.agg(F.max("key")).scalar(), F.lit(False))
+
+
 def browse(
     df: DataFrame,
     search: str = "",

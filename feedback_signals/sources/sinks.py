@@ -4,31 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import config as C
+from ..functions.scoring import is_real_minority
 from ..operators.aggregates import prediction_summary, run_summary
 from ..operators.entities import aggregate_by_entity, by_attention, summary_strings
 from ..operators.evaluation import classification_report
-from ..operators.signals import real_minority
-from ..operators.views import priority_alerts, queue_rows, shape_for_export
+from ..operators.views import is_priority_alert, queue_rows, shape_for_export
 
 # Label groups of the course-evaluation outputs.
 COURSE_GROUPS = ("Teaching", "Content", "Exam", "Lab", "Support")
 
 
-def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
-    """Quotes inside a cell are doubled, so any CSV reader gets them back."""
+def write_csv(df: DataFrame, path: str, quote_all: bool = False, by: str | None = None) -> None:
+    """Quotes inside a cell are doubled, so any CSV reader gets them back.  Rows stand
+    in a folder for each value of the column ``by``."""
     flat = shape_for_export(df)
     for f in flat.schema:
         if f.dataType.simpleString().startswith(("array", "map", "struct")):
             flat = flat.withColumn(f.name, F.to_json(f.name))
-    flat.write.mode("overwrite").options(
+    flat.write.mode("overwrite").partitionBy(*([by] if by else [])).options(
         header=True, escape='"', quoteAll=quote_all, emptyValue="" if not quote_all else '""',
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     ).csv(path)
 
 
+def folder_column(df: DataFrame, name: str) -> str:
+    """``name``, or ``name_1`` and so on where the rows have that column."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(1, len(taken) + 2))) if n not in taken)
+
+
 def save_scored(df: DataFrame, path: str, run_id: str) -> None:
     """The scored table of a run; rerunning a run replaces only that run."""
     df.write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
@@ -59,53 +66,72 @@ def export_by_label(df: DataFrame, path: str, label: str | None = None) -> None:
             raise ValueError(f"label {label!r} does not occur")
         write_csv(rows, path)
         return
-    flat = shape_for_export(df.filter(F.col("prediction").isNotNull()))
-    taken = {c.lower() for c in flat.columns}
-    folder = next(name for name in ("label", *(f"label_{i}" for i in range(1, len(taken) + 2))) if name not in taken)
-    flat.withColumn(folder, safe_name(F.col("prediction"))).write.mode("overwrite").options(
-        header=True, escape='"'
-    ).partitionBy(folder).csv(path)
+    folder = folder_column(df, "label")
+    labelled = df.filter(F.col("prediction").isNotNull())
+    write_csv(labelled.withColumn(folder, safe_name(F.col("prediction"))), path, by=folder)
 
 
-def peer_split(df: DataFrame) -> dict[str, DataFrame]:
-    """The outputs of a peer-feedback run."""
+def peer_routes(df: DataFrame) -> dict[str, Column]:
+    """The outputs of a peer-feedback run, each the condition on its rows."""
     is_peer = F.col("catme_subtype") == C.PEER if "catme_subtype" in df.columns else F.lit(True)
     is_self = F.col("catme_subtype") == C.SELF if "catme_subtype" in df.columns else F.lit(False)
-    negative = F.startswith(F.col("prediction"), F.lit("Negative_"))
     return {
-        "priority_alerts": priority_alerts(df),
-        "minority_experiences": real_minority(df),
-        "peer_feedback_results": df.filter(is_peer),
-        "self_assessment_results": df.filter(is_self),
-        "negative_peer_only": df.filter(is_peer & negative),
+        **_common_routes(df),
+        "peer_feedback_results": is_peer,
+        "self_assessment_results": is_self,
+        "negative_peer_only": is_peer & F.startswith(F.col("prediction"), F.lit("Negative_")),
     }
 
 
-def label_group(df: DataFrame, group: str) -> DataFrame:
-    return df.filter(F.startswith(F.col("prediction"), F.lit(group + "_")))
+def course_routes(df: DataFrame) -> dict[str, Column]:
+    """The row outputs of a course-evaluation run, each the condition on its rows."""
+    in_group = lambda group: F.startswith(F.col("prediction"), F.lit(group + "_"))
+    return {**_common_routes(df), **{f"{g.lower()}_results": in_group(g) for g in COURSE_GROUPS}}
 
 
-def course_split(df: DataFrame, entity: str | None = None, settings: C.Settings = C.DEFAULTS) -> dict[str, DataFrame]:
-    """The outputs of a course-evaluation run."""
-    entities = by_attention(aggregate_by_entity(df, entity, settings))
+def _common_routes(df: DataFrame) -> dict[str, Column]:
     return {
-        "priority_alerts": priority_alerts(df),
-        "minority_experiences": real_minority(df),
-        **{f"{g.lower()}_results": label_group(df, g) for g in COURSE_GROUPS},
-        "dimension_summary": summary_strings(entities),
+        "priority_alerts": is_priority_alert(df),
+        "minority_experiences": is_real_minority(F.col("is_minority_pattern"), F.col("minority_category")),
     }
 
 
-def write_all(outputs: Mapping[str, DataFrame], folder: str) -> list[str]:
-    for name, rows in outputs.items():
-        write_csv(rows, f"{folder}/{name}")
-    return list(outputs)
+def route(df: DataFrame, routes: Mapping[str, Column], output: str = "output") -> DataFrame:
+    """Every row once for each output that it belongs to, named in ``output``.  One
+    scan serves any number of outputs; a row that belongs to none is left out."""
+    names = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in routes.items()]))
+    return df.withColumn(output, names).withColumn(output, F.explode(output))
+
+
+def entity_summary(df: DataFrame, entity: str | None = None, settings: C.Settings = C.DEFAULTS) -> DataFrame:
+    return summary_strings(by_attention(aggregate_by_entity(df, entity, settings)))
 
 
 def export_split(df: DataFrame, folder: str, mode: str, entity: str | None = None) -> list[str]:
-    """Write the outputs of ``mode``.  ``df`` should be a stored table (see
-    ``save_scored``): every output scans it with its own filter pushed down."""
-    return write_all(peer_split(df) if mode == C.S2S else course_split(df, entity), folder)
+    """Write the outputs of ``mode`` and return their names.  ``df`` should be a stored
+    table (see ``save_scored``).
+
+    One scan and one write serve all outputs of rows, each in ``rows/output=<name>``
+    (``output_1`` and so on where the rows have that column); one without rows has no
+    folder, ``read_output`` reads it as empty.  Two passes over a few columns find the
+    last priority alert and, for courses, the table ``dimension_summary``.
+    """
+    routes = peer_routes(df) if mode == C.S2S else course_routes(df)
+    output = folder_column(df, "output")
+    write_csv(route(df, routes, output), f"{folder}/rows", by=output)
+    if mode == C.S2S:
+        return list(routes)
+    write_csv(entity_summary(df, entity), f"{folder}/dimension_summary")
+    return [*routes, "dimension_summary"]
+
+
+def read_output(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """The rows that ``export_split`` wrote for an output, every column as text and
+    named as in the exported ``df``.  Only the files of that output are read."""
+    output = folder_column(df, "output")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*df.columns, output)])
+    rows = df.sparkSession.read.schema(schema).options(header=True, escape='"', multiLine=True).csv(f"{folder}/rows")
+    return rows.filter(F.col(output) == name).drop(output)
 
 
 def export_peer_split(df: DataFrame, folder: str) -> list[str]:

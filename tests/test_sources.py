@@ -293,6 +293,9 @@ def test_exports(spark, scored, tmp_path):
     assert len(names) == 8
     summary = read_back(spark, str(tmp_path / "course" / "dimension_summary"))
     assert summary.count() == df.select("entity").distinct().count()
+    alerts = sinks.read_output(df, str(tmp_path / "course"), "priority_alerts")
+    first = sorted(df.collect(), key=lambda r: (r.priority_score is None, -(r.priority_score or 0), r.row_id))[:100]
+    assert {int(r.row_id) for r in alerts.collect()} == {r.row_id for r in first} and alerts.columns == df.columns
     assert len(sinks.export_peer_split(df, str(tmp_path / "peer"))) == 5
     sinks.export_queue(df, str(tmp_path / "q"), "mismatch", kind="HIGH_MISMATCH")
     queue = read_back(spark, str(tmp_path / "q"))
@@ -303,6 +306,27 @@ def test_exports(spark, scored, tmp_path):
     assert report.summary.total == 200 and report.label_count == df.select("prediction").distinct().count()
 
 
+def test_split_in_one_scan(spark, scored, tmp_path):
+    df = files.load_scored(spark, scored, "r1").withColumns({
+        "output": F.lit("mine"), "priority_score": F.when(F.col("row_id") % 3 == 0, F.col("priority_score")),
+    })
+    rules = sinks.course_routes(df)
+    routed = sinks.route(df, rules, "output_1")
+    per = {r.output_1: r["count"] for r in routed.groupBy("output_1").count().collect()}
+    alone = {name: df.filter(rule).count() for name, rule in rules.items()}
+    assert per == {name: n for name, n in alone.items() if n} and per["priority_alerts"] == 100
+    plan = routed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 4  # rows and bound; the plan text may name each twice
+    folder = str(tmp_path / "split")
+    sinks.export_split(df, folder, C.S2P, "entity")
+    for name, n in alone.items():
+        back = sinks.read_output(df, folder, name)
+        assert back.count() == n and {r.output for r in back.collect()} <= {"mine"}
+    nothing = df.filter("false")
+    sinks.export_split(nothing, folder, C.S2S)
+    assert sinks.read_output(nothing, folder, "priority_alerts").count() == 0
+
+
 def test_run_log(spark, tmp_path):
     path = str(tmp_path / "log")
     for run, at, name in (("a", 1, "x.csv"), ("b", 3, "y.csv"), ("a", 5, "x2.csv")):
