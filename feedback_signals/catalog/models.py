@@ -15,6 +15,7 @@ from ..streaming import rate_cap as RC, score_stream as SS
 from . import frames as T
 from .joins import EPS, POINTS, points
 from .registry import ORACLES, query
+from .rows import MASKED_NAMES
 
 OPTIONS = PL.Options(lexicon=T.LEXICON)
 
@@ -24,18 +25,20 @@ def _values(candidates) -> str:
     return ", ".join(f"({i}, '{c}', '{l}')" for i, (c, l) in enumerate(candidates.items()))
 
 
-def _cosine_sql(candidates) -> str:
-    """Scores of every (text, candidate), from the definition of the weights."""
+def _cosine_sql(candidates, source: str = "documents") -> str:
+    """Scores of every (text, candidate), from the definition of the weights; none, and
+    no label, for a text that has no word of any candidate."""
     return f"""cand(ord, name, label) AS (VALUES {_values(candidates)}),
 words AS (SELECT DISTINCT ord, unnest(regexp_extract_all(lower(name), '[a-z]+')) AS w FROM cand),
 weight AS (SELECT w, round(1000 * pow(ln(({len(candidates)}::DOUBLE + 1) / (1 + count(*))) + 1, 2))::BIGINT AS q FROM words GROUP BY w),
 size AS (SELECT ord, sqrt(sum(q)::DOUBLE) AS norm FROM words JOIN weight USING (w) GROUP BY ord),
-hits AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents),
+hits AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM {source}),
 own AS (SELECT doc_id, sqrt(sum(q)::DOUBLE) AS norm FROM hits JOIN weight USING (w) GROUP BY doc_id),
 shared AS (SELECT doc_id, ord, sum(q)::DOUBLE AS s FROM hits JOIN weight USING (w) JOIN words USING (w) GROUP BY doc_id, ord),
-scores AS (SELECT d.doc_id, c.ord, c.name, c.label, coalesce(s.s / z.norm / o.norm, 0) AS score
-  FROM documents d CROSS JOIN cand c JOIN size z USING (ord) LEFT JOIN own o USING (doc_id) LEFT JOIN shared s USING (doc_id, ord)),
-best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) = 1)"""
+scores AS (SELECT d.doc_id, c.ord, c.name, c.label, CASE WHEN o.norm IS NOT NULL THEN coalesce(s.s / z.norm / o.norm, 0) END AS score
+  FROM {source} d CROSS JOIN cand c JOIN size z USING (ord) LEFT JOIN own o USING (doc_id) LEFT JOIN shared s USING (doc_id, ord)),
+best AS (SELECT doc_id, CASE WHEN score IS NOT NULL THEN name END AS name, CASE WHEN score IS NOT NULL THEN label END AS label, score
+  FROM scores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC NULLS LAST, ord) = 1)"""
 
 
 def _documents(spark, sf):
@@ -60,7 +63,7 @@ def zero_shot_label(spark, sf):
 
 @query("classify", f"""
 WITH {_cosine_sql(C.PROFESSOR_CANDIDATES)}
-SELECT doc_id AS row_id, label AS prediction, score < 0.65 AS needs_review FROM best""")
+SELECT doc_id AS row_id, label AS prediction, coalesce(score < 0.65, true) AS needs_review FROM best""")
 def classify(spark, sf):
     rows = classifier.classify(_documents(spark, sf), **PL.DESCRIPTION_CLASSIFIERS[C.S2P])
     return rows.select("row_id", "prediction", "needs_review")
@@ -294,14 +297,13 @@ def rate_cap_small_slices(spark, sf):
 
 
 @query("score_stream", f"""
-WITH {_cosine_sql(C.PROFESSOR_CANDIDATES)}
-SELECT best.label, count(*) AS count FROM best JOIN documents USING (doc_id) WHERE length(text) > 5 GROUP BY best.label""")
+WITH masked AS (SELECT doc_id, {MASKED_NAMES} AS text FROM documents WHERE length(text) > 5), {_cosine_sql(C.PROFESSOR_CANDIDATES, "masked")}
+SELECT label, count(*) AS count FROM best GROUP BY label""")
 def score_stream(spark, sf):
     """Runs the stream over the files that are there and returns its totals."""
     out = f"{scratch_folder(spark)}/streams/{uuid.uuid4().hex}"
-    options = PL.Options(lexicon=T.LEXICON, anonymize=False)
     job = SS.score_stream(
-        spark, f"{sf}/documents*.parquet", f"{out}/result", "doc_id long, text string", C.S2P, options, f"{out}/progress"
+        spark, f"{sf}/documents*.parquet", f"{out}/result", "doc_id long, text string", C.S2P, OPTIONS, f"{out}/progress"
     )
     job.awaitTermination()
     return SS.stream_totals(spark, f"{out}/result").select("label", "count")

@@ -32,9 +32,11 @@ def drop_short(spark, sf):
 
 
 # SQL word edges are ASCII there: accented letters get an ASCII mark first.
-@query("anonymize", r"""
-SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '([^\P{L}a-zA-Z])', '_\1_', 'g'),
-  '\b[A-Z][a-z]{2,}\s+[A-Z][a-z]{2,}\b', '[STUDENT]', 'g'), '_([^\P{L}a-zA-Z])_', '\1', 'g') AS text FROM documents""")
+MASKED_NAMES = r"""regexp_replace(regexp_replace(regexp_replace(text, '([^\P{L}a-zA-Z])', '_\1_', 'g'),
+  '\b[A-Z][a-z]{2,}\s+[A-Z][a-z]{2,}\b', '[STUDENT]', 'g'), '_([^\P{L}a-zA-Z])_', '\1', 'g')"""
+
+
+@query("anonymize", f"SELECT doc_id, {MASKED_NAMES} AS text FROM documents")
 def anonymize(spark, sf):
     return R.anonymize(T.documents(spark, sf)).select("doc_id", "text")
 

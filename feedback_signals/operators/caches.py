@@ -102,6 +102,6 @@ def score_distinct(
     spark = df.sparkSession
     if table_exists(spark, cache_path):
         texts = not_cached(texts, spark.read.parquet(cache_path), text)
-    fresh = score(texts).select(KEY, value)
+    fresh = score(texts).select(KEY, value).filter(F.col(value).isNotNull())
     append_cache(cache_path, fresh, value)
     return apply_cache(keyed, read_cache(spark, cache_path, fresh), value, text)

@@ -101,7 +101,8 @@ def classify(
     threshold: float | None = None,
     distinct: bool = False,
 ) -> DataFrame:
-    """Adds ``prediction``, ``confidence`` and ``needs_review``.
+    """Adds ``prediction``, ``confidence`` and ``needs_review``.  A text that gives the
+    scorer no evidence has neither prediction nor confidence and needs review.
 
     Either a fitted ``model``, or a ``scorer`` over ``labels`` (names, or
     descriptions mapped to names).  ``distinct`` scores each text once, which

@@ -84,10 +84,11 @@ def suppress_positive_outliers(df: DataFrame, tiers: C.Tiers = C.DEFAULTS.tiers)
 
 
 def flag_review(df: DataFrame, threshold: float | None = None) -> DataFrame:
-    """``needs_review`` from the raw confidence, which is then rounded."""
+    """``needs_review`` from the raw confidence, which is then rounded.  A row without
+    confidence needs review."""
     limit = C.DEFAULTS.review_threshold if threshold is None else threshold
     return df.withColumns({
-        "needs_review": F.col("confidence") < limit,
+        "needs_review": F.coalesce(F.col("confidence") < limit, F.lit(True)),
         "confidence": F.round("confidence", 4),
     })
 

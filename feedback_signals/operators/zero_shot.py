@@ -2,7 +2,8 @@
 
 A scorer is a function ``(text column, candidates) -> array<double> column`` with
 one score per candidate: a pandas or Arrow UDF around a model, or the built-in
-``token_cosine``, which is a plain expression.
+``token_cosine``, which is a plain expression.  A null in place of the array says
+that the text gives no evidence for any candidate; such a text gets no label.
 """
 
 from __future__ import annotations
@@ -46,7 +47,8 @@ def token_cosine(text: Column, candidates: Sequence[str]) -> Column:
 
     The whole text is read once, by a hashed intersection with that vocabulary.
     Every word found adds its row of per-candidate weights to a running sum,
-    whose last entry is the text's own squared length.
+    whose last entry is the text's own squared length.  A text without any word of
+    the candidates scores null.
     """
     weight = word_weights(candidates)
     words = [set(candidate_words(c)) for c in candidates]
@@ -71,11 +73,11 @@ def token_cosine(text: Column, candidates: Sequence[str]) -> Column:
 def _scaled(sums: Column, norms: Column) -> Column:
     own = F.sqrt(F.element_at(sums, -1))
     shared = F.slice(sums, 1, F.size(norms))
-    return F.zip_with(shared, norms, lambda s, n: F.when(own > 0, s / n / own).otherwise(0.0))
+    return F.when(own > 0, F.zip_with(shared, norms, lambda s, n: s / n / own))
 
 
 def argmax_position(scores: Column) -> Column:
-    """0-based position of the highest score; ties go to the first."""
+    """0-based position of the highest score; ties go to the first.  Null without scores."""
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
 
@@ -84,7 +86,7 @@ def argmax_label(scores: Column, names: Sequence[str]) -> Column:
 
 
 def best_candidate(df: DataFrame, candidates: Sequence[str], scorer: Scorer | None = None, text: str = "text") -> DataFrame:
-    """Adds ``candidate`` and its ``score`` to every row."""
+    """Adds ``candidate`` and its ``score`` to every row, null where there is no evidence."""
     scored = df.withColumn("_scores", (scorer or token_cosine)(F.col(text), candidates))
     return scored.withColumns({
         "candidate": argmax_label(F.col("_scores"), candidates),
@@ -113,7 +115,8 @@ def zero_shot_label(
     A model only sees distinct texts that the cache does not hold.  The built-in
     scorer is cheaper than the shuffle this needs, so without a cache it runs in
     place.  ``default`` is the label of an unmapped candidate, its own name if
-    ``None``.
+    ``None``, and of a text without evidence, which otherwise stays unlabelled and
+    is not recorded in the cache.
     """
     mapping = candidates if isinstance(candidates, Mapping) else {c: c for c in candidates}
     blank = F.length(strip(F.coalesce("text", F.lit("")))) == 0
@@ -175,8 +178,9 @@ def label_by_dimension(
     default: str = "Majority_Positive",
 ) -> DataFrame:
     """``sentiment`` of course-evaluation rows among the candidates of their
-    dimension.  Rows with one candidate need no scoring, and the first row of a
-    text decides for all rows with that text."""
+    dimension.  Rows with one candidate need no scoring, a text without evidence
+    takes the first candidate of its rating, and the first row of a text decides for
+    all rows with that text."""
     universe = list(C.PROFESSOR_CANDIDATES)
     trimmed = df.withColumn("text", strip(F.col("text")))
     offered = dimension_candidates(trimmed, strict_keys)
@@ -188,13 +192,12 @@ def label_by_dimension(
     several = F.size("candidates") > 1
     if scorer is None:
         # An expression is only evaluated where it is asked for: one scan.
-        named = choose(offered, F.when(several, score)).withColumn(
-            "candidate", F.coalesce("candidate", F.col("candidates")[0])
-        )
+        named = choose(offered, F.when(several, score))
     else:
         # A UDF runs on every row it is given: rows are split before it.
-        single = offered.filter(~several).withColumn("candidate", F.col("candidates")[0])
+        single = offered.filter(~several).withColumn("candidate", F.lit(None).cast("string"))
         named = single.unionByName(choose(offered.filter(several), score))
+    named = named.withColumn("candidate", F.coalesce("candidate", F.col("candidates")[0]))
     labelled = map_labels(named, C.PROFESSOR_CANDIDATES, default)
     settled = first_label_per_text(with_key(labelled), "label")
     return settled.withColumn("sentiment", F.col("label")).drop(

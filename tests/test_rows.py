@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from feedback_signals import config as C
 from feedback_signals.functions import labels as L, lexicon as X, scoring as S, text as T
-from feedback_signals.operators import aggregates as A, entities as N, labelling, reshape as R, signals as G, zero_shot as Z
+from feedback_signals.operators import aggregates as A, classifier as K, entities as N, labelling, reshape as R, signals as G, zero_shot as Z
+from feedback_signals.plans import pipeline as PL
 
 
 def values(df, col="v"):
@@ -262,6 +263,24 @@ def test_zero_shot_cache_and_blank(spark, tmp_path):
     assert spark.read.parquet(path).count() == 4
 
 
+def test_no_evidence_is_no_label(spark, tmp_path):
+    """Neither a label nor a confidence, review instead, and nothing in the cache."""
+    df = texts(spark, "lab equipment is broken", "xyzzy", "", None)
+    got = {r.row_id: r for r in K.classify(df, **PL.DESCRIPTION_CLASSIFIERS[C.S2P]).collect()}
+    assert got[0].prediction == "Lab_Negative_Equipment" and got[0].confidence > 0
+    assert all((got[i].prediction, got[i].confidence, got[i].needs_review) == (None, None, True) for i in (1, 2, 3))
+    path = str(tmp_path / "cache")
+    labels = {r.row_id: r.sentiment for r in Z.zero_shot_label(df, C.PROFESSOR_CANDIDATES, cache_path=path).collect()}
+    assert labels == {0: "Lab_Negative_Equipment", 1: None, 2: "", 3: ""}
+    assert spark.read.parquet(path).count() == 2
+    named = Z.zero_shot_label(df, C.PROFESSOR_CANDIDATES, default="Majority_Positive")
+    assert {r.row_id: r.sentiment for r in named.collect()}[1] == "Majority_Positive"
+    scored = {r.row_id: r for r in PL.score_texts(df, mode=C.S2S).collect()}
+    assert (scored[1].prediction, scored[1].broad_sentiment, scored[1].priority_score) == (None, C.NEUTRAL, 5)
+    multi = {r.row_id: r.categories for r in Z.zero_shot_multi(df).collect()}
+    assert multi[1] == multi[3] == C.OUTLIER_ONLY
+
+
 def test_first_label_decides_for_copies(spark):
     df = spark.createDataFrame([
         (1, "same text", "examination", 1.0), (2, "same text", "teaching", -1.0), (3, "Slides are hard to follow", "teaching", -1.0),
