@@ -15,7 +15,8 @@ from ..streaming import rate_cap as RC, score_stream as SS
 from . import frames as T
 from .joins import EPS, POINTS, points
 from .registry import ORACLES, query
-from .rows import MASKED_NAMES
+from .rows import BODY, MASKED_NAMES
+from .samples import HASH
 
 OPTIONS = PL.Options(lexicon=T.LEXICON)
 
@@ -97,14 +98,16 @@ def _allowed() -> str:
     return ", ".join(rows)
 
 
-@query("label_by_dimension", f"""
-WITH {_cosine_sql(C.PROFESSOR_CANDIDATES)}, allowed(dimension, bucket, label) AS (VALUES {_allowed()}),
+_BY_DIMENSION = f"""{_cosine_sql(C.PROFESSOR_CANDIDATES)}, allowed(dimension, bucket, label) AS (VALUES {_allowed()}),
 d AS (SELECT doc_id, text, replace({T.names_sql(_DIMENSIONS)}[(doc_id % 6)::INT + 1], '_', '') AS dimension,
   ['negative', 'neutral', 'positive'][(n_chars % 3)::INT + 1] AS bucket FROM documents),
 own_best AS (SELECT doc_id, s.label FROM d JOIN allowed a USING (dimension, bucket) JOIN scores s USING (doc_id)
   WHERE s.label = a.label QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, s.ord) = 1),
-each AS (SELECT d.doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, coalesce(b.label, 'Majority_Positive') AS label FROM d LEFT JOIN own_best b USING (doc_id))
-SELECT doc_id AS row_id, first_value(label) OVER (PARTITION BY text ORDER BY doc_id) AS sentiment FROM each""")
+each AS (SELECT d.doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, coalesce(b.label, 'Majority_Positive') AS label FROM d LEFT JOIN own_best b USING (doc_id)),
+by_dimension AS (SELECT doc_id AS row_id, first_value(label) OVER (PARTITION BY text ORDER BY doc_id) AS sentiment FROM each)"""
+
+
+@query("label_by_dimension", f"WITH {_BY_DIMENSION} SELECT row_id, sentiment FROM by_dimension")
 def label_by_dimension(spark, sf):
     return Z.label_by_dimension(_course(spark, sf)).select("row_id", "sentiment")
 
@@ -253,13 +256,31 @@ def score_texts(spark, sf):
     return rows.select("conv_id", "turn", "prediction", "broad_sentiment", "priority_score")
 
 
-@query("prepare_peer_training")
+_SUBTYPE = f"""typed AS (SELECT doc_id, text, {_hits_sql(p.replace("'", "''") for p in C.FIRST_PERSON_PHRASES)} AS hits,
+  CASE WHEN {BODY} = '' THEN 0 ELSE len(regexp_split_to_array({BODY}, '\\s+')) END AS words FROM documents),
+masked AS (SELECT doc_id, {MASKED_NAMES} AS text,
+  CASE WHEN hits >= 2 OR (hits = 1 AND words < 30) THEN 'self_assessment' ELSE 'peer_feedback' END AS subtype FROM typed)"""
+
+
+@query("prepare_peer_training", f"""
+WITH {_SUBTYPE},
+a AS (WITH {_cosine_sql(C.CANDIDATE_LABELS[C.PEER], "masked")} SELECT doc_id, label FROM best),
+b AS (WITH {_cosine_sql(C.CANDIDATE_LABELS[C.SELF], "masked")} SELECT doc_id, label FROM best)
+SELECT subtype, CASE WHEN {_BLANK} THEN '' WHEN subtype = 'peer_feedback' THEN a.label ELSE b.label END AS sentiment, count(*) AS n
+FROM masked JOIN a USING (doc_id) JOIN b USING (doc_id) GROUP BY 1, 2""")
 def prepare_peer_training(spark, sf):
     labelled, _ = TR.prepare_peer_training(_documents(spark, sf).select("row_id", "text"))
     return labelled.groupBy("subtype", "sentiment").agg(F.count("*").alias("n"))
 
 
-@query("prepare_course_training")
+@query("prepare_course_training", f"""
+WITH {_BY_DIMENSION}, reviews AS (SELECT doc_id AS row_id, text FROM documents JOIN (SELECT row_id AS doc_id, rating FROM (WITH {T.FB} SELECT * FROM fb))
+  USING (doc_id) WHERE length({BODY}) > 10
+  QUALIFY row_number() OVER (PARTITION BY CASE WHEN rating >= 4 THEN 1 WHEN rating >= 3 THEN 0 ELSE -1 END ORDER BY {HASH}, row_id) <= 50000),
+halves AS (SELECT *, ('0x' || substr({HASH}, 1, 8))::BIGINT / 4294967296 < 0.2 AS is_test FROM by_dimension),
+sides AS (SELECT 'train' AS side, label AS sentiment FROM reviews JOIN best ON row_id = doc_id
+  UNION ALL SELECT CASE WHEN is_test THEN 'validation' ELSE 'train' END, sentiment FROM halves)
+SELECT side, sentiment, count(*) AS n FROM sides GROUP BY ALL""")
 def prepare_course_training(spark, sf):
     reviews = loaders.review_rows(T.feedback(spark, sf).select(
         "row_id", F.col("rating").alias("quality"), F.col("text").alias("comment"), F.col("entity").alias("tags")

@@ -105,6 +105,15 @@ def result_page_summary(spark, sf):
     return V.result_page_summary(T.scored(spark, sf)).select("total", "rows_truncated")
 
 
+@query("result_page_at_cap", f"""
+WITH {T.SCORED}, page AS (SELECT row_id, prediction FROM scored ORDER BY priority_score DESC, row_id LIMIT 150)
+SELECT row_id, prediction, (SELECT count(*) > 150 FROM scored) AS rows_truncated FROM page""")
+def result_page_at_cap(spark, sf):
+    rows = T.scored(spark, sf)
+    truncated = V.result_page_summary(rows, 150).select("rows_truncated").scalar()
+    return V.result_page(rows, 150).select("row_id", "prediction", truncated.alias("rows_truncated"))
+
+
 @query("export_minority_rows", f"WITH {T.SCORED} SELECT row_id, minority_category FROM scored WHERE is_minority_pattern")
 def export_minority_rows(spark, sf):
     return sinks.minority_rows(T.scored(spark, sf)).select("row_id", "minority_category")

@@ -110,6 +110,24 @@ def derive_labels(spark, sf):
     return labelling.derive_labels(T.feedback(spark, sf), "no_such_column", "rating").select("row_id", "sentiment")
 
 
+@query("derive_labels_by_source", f"""
+WITH {T.FB}, {T.WIDE}
+SELECT 'label' AS source, row_id, prediction AS sentiment FROM fb
+UNION ALL SELECT 'ternary', row_id, CASE WHEN teaching < 0 THEN 'Negative' WHEN teaching = 0 THEN 'Neutral' ELSE 'Positive' END FROM wide
+UNION ALL SELECT 'scorer', row_id, entity FROM fb""")
+def derive_labels_by_source(spark, sf):
+    """The other sources: a label column with white space, a -1/0/1 rating, a scorer."""
+    rows = T.feedback(spark, sf)
+    padded = rows.withColumn("given", F.concat(F.lit("  "), "prediction", F.lit("\n")))
+    found = {
+        "label": labelling.derive_labels(padded, "given", "rating"),
+        "ternary": labelling.derive_labels(T.wide_course(spark, sf), None, "teaching", training=True),
+        "scorer": labelling.derive_labels(rows, None, None, lambda df: df.withColumn("sentiment", F.col("entity"))),
+    }
+    parts = [df.select(F.lit(name).alias("source"), "row_id", "sentiment") for name, df in found.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query("quality_to_rating", f"""
 WITH {T.FB} SELECT row_id, CASE WHEN rating >= 4 THEN 1 WHEN rating >= 3 THEN 0 ELSE -1 END AS r FROM fb""")
 def quality_to_rating(spark, sf):

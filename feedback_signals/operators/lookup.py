@@ -48,20 +48,23 @@ def salted_join(
     on: Sequence[str] | str,
     how: str = "left",
     rows_per_salt: int = ROWS_PER_SALT,
+    max_heavy: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Shuffle join in which each key of more than ``rows_per_salt`` left rows
     is spread over several salts; the matching right row is copied to each.
 
     The list of such keys has at most ``rows / rows_per_salt`` entries, so it is
-    the one thing that is broadcast.
+    the one thing that is broadcast.  Should it be too long for that, only the
+    fuller keys are salted.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    heavy = (
-        left.groupBy(*keys).count().filter(F.col("count") > rows_per_salt)
-        .select(*keys, F.ceil(F.col("count") / rows_per_salt).cast("int").alias("_salts"))
+    counts, over = left.groupBy(*keys).count(), rows_per_salt
+    salted = lambda limit: counts.filter(F.col("count") > limit).select(
+        *keys, F.ceil(F.col("count") / rows_per_salt).cast("int").alias("_salts")
     )
-    heavy = bounded_copy(heavy)
-    if heavy is None or heavy.isEmpty():
+    while (heavy := bounded_copy(salted(over), max_heavy)) is None:
+        over *= 4
+    if heavy.isEmpty():
         return left.join(right, keys, how)
     heavy = F.broadcast(heavy)
     salts = F.coalesce(F.col("_salts"), F.lit(1))

@@ -81,6 +81,9 @@ def test_attach_both_ways(spark, monkeypatch):
         plain = sorted(map(str, left.join(right, "k", how).collect()))
         assert sorted(map(str, lookup.attach(left, right, "k", how).collect())) == plain
         assert sorted(map(str, lookup.salted_join(left, right, "k", how, rows_per_salt=100).collect())) == plain
+        # Two keys may be salted, more have over 50 rows: only the fuller ones are.
+        few = lookup.salted_join(left, right, "k", how, rows_per_salt=10, max_heavy=2)
+        assert sorted(map(str, few.collect())) == plain
     assert lookup.bounded_copy(left, 10) is None
 
 
