@@ -319,7 +319,7 @@ def rate_cap_small_slices(spark, sf):
 
 @query("score_stream", f"""
 WITH masked AS (SELECT doc_id, {MASKED_NAMES} AS text FROM documents WHERE length(text) > 5), {_cosine_sql(C.PROFESSOR_CANDIDATES, "masked")}
-SELECT label, count(*) AS count FROM best GROUP BY label""")
+SELECT label, count(*) AS count FROM best WHERE label IS NOT NULL GROUP BY label""")
 def score_stream(spark, sf):
     """Runs the stream over the files that are there and returns its totals."""
     out = f"{scratch_folder(spark)}/streams/{uuid.uuid4().hex}"

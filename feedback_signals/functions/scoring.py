@@ -24,7 +24,8 @@ def mismatch_type(
     """``""`` when rating and wording agree or the rating is unknown."""
     r, tone = as_number(rating), POLARITIES[polarity](prediction)
     return (
-        F.when((r >= high) & (tone != C.POSITIVE), "HIGH_MISMATCH")
+        F.when(prediction.isNull(), "")  # a text without a label contradicts no rating
+        .when((r >= high) & (tone != C.POSITIVE), "HIGH_MISMATCH")
         .when((r <= low) & (tone == C.POSITIVE), "REVERSE_MISMATCH")
         .otherwise("")
     )

@@ -126,7 +126,8 @@ def prepare_course_training(
     keep_dimension_labels: bool = True,
     settings: C.Settings = C.DEFAULTS,
 ) -> tuple[DataFrame, DataFrame]:
-    """(train, validation) for the course model, both with ``sentiment``.
+    """(train, validation) for the course model, both with ``sentiment``; a review
+    without evidence for any label has none, and ``prepare_training`` leaves it out.
 
     ``keep_dimension_labels=False`` relabels the course-evaluation rows among
     all 24 descriptions as well.

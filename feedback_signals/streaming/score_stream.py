@@ -74,8 +74,9 @@ def score_stream(
 
 
 def stream_totals(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Label statistics over all batches so far."""
-    parts = spark.read.parquet(f"{out_dir}/label_parts")
+    """Label statistics over all batches so far; like ``label_stats`` without the rows
+    that have no label."""
+    parts = spark.read.parquet(f"{out_dir}/label_parts").filter(F.col("prediction").isNotNull())
     return parts.groupBy(F.col("prediction").alias("label")).agg(
         F.sum("n").alias("count"),
         (F.sum("confidence_sum") / F.sum("n")).alias("avg_confidence"),

@@ -1,5 +1,6 @@
 """Pipelines, models and streams."""
 
+import re
 import random
 from collections import deque
 
@@ -23,7 +24,12 @@ def test_peer_chain(spark, sf_dir):
     assert rows.count() == source.filter(F.length("text") > 5).count()
     assert rows.select("row_id").distinct().count() == rows.count()
     allowed = set(C.PEER_LABELS + C.SELF_LABELS)
-    assert {r.prediction for r in rows.select("prediction").distinct().collect()} <= allowed
+    assert {r.prediction for r in rows.filter("prediction IS NOT NULL").select("prediction").distinct().collect()} <= allowed
+    # No word of any candidate: no label, no confidence, review, and no mismatch.
+    words = {w for c in PL.DESCRIPTION_CLASSIFIERS[C.S2S]["labels"] for w in Z.candidate_words(c)}
+    silent = [r for r in rows.collect() if not words & set(re.split("[^a-z]+", r.text.lower()))]
+    assert len(silent) == rows.filter("prediction IS NULL").count() > 0
+    assert all((r.prediction, r.confidence, r.needs_review, r.mismatch_flag) == (None, None, True, False) for r in silent)
     # The order of the stages: a mixed-signal row counts as real minority.
     mixed = rows.filter(F.contains("minority_category", F.lit(C.MIXED_SIGNAL)))
     assert mixed.filter("priority_score < 10").count() == 0
@@ -125,7 +131,12 @@ def test_training_sets(spark, sf_dir):
     course = models._course(spark, sf_dir)
     reviews = course.select(F.col("row_id") + 1000, "text", F.lit("tag").alias("tags")).toDF("row_id", "text", "tags")
     train, held_out = TR.prepare_course_training(reviews, course)
-    assert train.filter("sentiment IS NULL").count() == 0 and train.count() + held_out.count() == reviews.count() + course.count()
+    assert train.count() + held_out.count() == reviews.count() + course.count()
+    # Unlabelled are the reviews without a word of any candidate, and only they.
+    words = {w for c in C.PROFESSOR_CANDIDATES for w in Z.candidate_words(c)}
+    silent = {r.row_id for r in reviews.collect() if r.text.strip() and not words & set(re.split("[^a-z]+", r.text.lower()))}
+    assert {r.row_id for r in train.filter("sentiment IS NULL").collect()} == silent
+    assert not silent & {r.row_id for r in TR.clean_labelled(train, "sentiment").collect()}
     inside = {r.row_id for r in train.collect()}
     assert not inside & {r.row_id for r in held_out.collect()}
     by_rating = TR.label_held_out(course, by_rating=True)
